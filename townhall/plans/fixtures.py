@@ -138,14 +138,14 @@ def v_event_source(d):
 @_view
 def v_run(d):
     return f"""
-    SELECT o.o_orderkey AS id, o.o_custkey % n.n_sources + 1 AS scraper_id,
+    SELECT o.o_orderkey AS id, o.o_custkey % (SELECT count(*) FROM @supplier) + 1 AS scraper_id,
            CASE WHEN o.o_orderkey % 997 = 0 THEN 'running' WHEN o.o_orderstatus = 'P' THEN 'failed' ELSE 'success' END AS status,
            o.o_orderdate AS created_at,
            {d.plus('o.o_orderdate', 'MINUTE', 'o.o_orderkey % 30')} AS started_at,
            CASE WHEN o.o_orderkey % 997 = 0 THEN NULL
                 ELSE {d.plus('o.o_orderdate', 'MINUTE', 'o.o_orderkey % 1440 + 30')} END AS finished_at,
            o.o_orderkey % 80 AS items_found, o.o_orderkey % 50 AS items_written
-    FROM @orders o CROSS JOIN (SELECT count(*) AS n_sources FROM @supplier) n"""
+    FROM @orders o"""
 
 
 FILLER = "The department staff reviewed the proposal while residents of the valley shared their views. "
@@ -159,7 +159,7 @@ def civic_text(d):
     fill = f"repeat('{FILLER}', cast(CASE WHEN {k} % 50 = 0 THEN 24 WHEN {k} % 7 = 0 THEN 6 ELSE {k} % 3 END as int))"
     return f"""
     SELECT o_orderkey AS article_id, cast(c_nationkey + 1 as bigint) AS city_id,
-           o_custkey % n.n_sources + 1 AS scraper_id,
+           o_custkey % (SELECT count(*) FROM @supplier) + 1 AS scraper_id,
            CASE WHEN {k} % 31 = 0 THEN NULL ELSE 'Notice ' || {d.str(k)} || ' Zoning Board Review' END AS title,
            CASE WHEN {k} % 3 = 0 THEN NULL WHEN {k} % 3 = 1 THEN '  ' ELSE 'Summary of matter ' || {d.str(k)} || '.' END AS summary,
            CASE WHEN {k} % 4 = 0 THEN 'PUBLIC NOTICE' || {NL} || {NL} WHEN {k} % 4 = 1 THEN 'Agenda Items Listed:' || {NL} ELSE '' END
@@ -177,20 +177,20 @@ def civic_text(d):
            || CASE WHEN {k} % 11 = 0 THEN {NL} || '- first item' || {NL} || '- second item' || {NL} || '1. numbered item' ELSE '' END
            || CASE WHEN {k} % 13 = 0 THEN {NL} || {NL} || 'Mayor Jane Doe' || {NL} || {NL} || 'The deadline is ' || {ymd} || '.' ELSE '' END
            AS cleaned_text
-    FROM @orders JOIN @customer ON o_custkey = c_custkey CROSS JOIN (SELECT count(*) AS n_sources FROM @supplier) n"""
+    FROM @orders JOIN @customer ON o_custkey = c_custkey"""
 
 
 @_view
 def v_article(d):
     return f"""
-    SELECT doc_id + 1 AS id, doc_id % 25 + 1 AS city_id, doc_id % n.n_sources + 1 AS scraper_id,
+    SELECT doc_id + 1 AS id, doc_id % 25 + 1 AS city_id, doc_id % (SELECT count(*) FROM @supplier) + 1 AS scraper_id,
            'Document ' || {d.str('doc_id')} AS title,
            CASE WHEN doc_id % 3 = 0 THEN NULL ELSE substring(text, 1, 80) END AS summary,
            'https://docs.example.org/' || {d.str('doc_id')} AS canonical_url,
            CASE WHEN doc_id % 4 = 0 THEN 'pdf' ELSE 'news' END AS content_type, 'published' AS status,
            {d.plus(d.ts('2024-01-01 00:00:00'), 'MINUTE', 'doc_id * 37')} AS created_at,
            CASE WHEN doc_id % 6 = 0 THEN NULL ELSE {d.plus(d.ts('2023-06-01 06:00:00'), 'HOUR', 'doc_id % 9000')} END AS published_at
-    FROM @documents CROSS JOIN (SELECT count(*) AS n_sources FROM @supplier) n"""
+    FROM @documents"""
 
 
 @_view
@@ -307,9 +307,34 @@ def v_claim(d):
 @_view
 def v_issue_area(d):
     return f"""
-    SELECT dense_rank() OVER (ORDER BY city_id, slug) AS id, city_id, slug FROM (
-      SELECT DISTINCT cast(n_nationkey + 1 as bigint) AS city_id, replace(p_brand, '#', '-') AS slug
-      FROM @part CROSS JOIN @nation WHERE p_brand NOT LIKE '%7') x"""
+    SELECT DISTINCT (l_orderkey % 25 + 1) * 1000 + cast(replace(p_brand, 'Brand#', '') as int) AS id,
+           l_orderkey % 25 + 1 AS city_id, replace(p_brand, '#', '-') AS slug
+    FROM @lineitem JOIN @part ON l_partkey = p_partkey WHERE p_brand NOT LIKE '%7'"""
+
+
+@_view
+def v_model_output(d):
+    """Finished model answers as JSON text, one per order."""
+    k, s = "o_orderkey", lambda e: d.str(e)
+    return f"""
+    SELECT {k} AS article_id, {k} % 25 + 1 AS city_id, o_custkey % (SELECT count(*) FROM @supplier) + 1 AS scraper_id,
+      CASE WHEN {k} % 41 = 0 THEN 'not json' ELSE
+      '{{"analysis":{{"dimensions":{{"agency":' || CASE WHEN {k} % 5 = 0 THEN '1.7' ELSE '0.' || {s(k + ' % 10')} END
+      || ',"orientation":0.' || {s(k + ' % 9')} || ',"representation":"0.5","relevance":"high","timeliness":0.2}},'
+      || '"justifications":{{"agency":"  because ' || {s(k)} || ' "}},"opportunities":[{{"type":"'
+      || CASE {k} % 3 WHEN 0 THEN 'Meeting' WHEN 1 THEN 'public_comment' ELSE 'party' END || '","date":"' || {d.fmt('o_orderdate', 'ymd')}
+      || '","time":"18:30","location":"City Hall, 1 Main St, Springfield","description":' || CASE WHEN {k} % 4 = 0 THEN 'null' ELSE '"Public hearing now. Come."' END
+      || ',"evidence":[{{"quote":" seen ","start":"4","end":9.6}},{{"quote":" "}}]}}],"confidence":' || CASE WHEN {k} % 2 = 0 THEN '0' ELSE '0.75' END || '}},'
+      || '"process_timeline":{{"current_key":" Step-2 ","items":[' || CASE WHEN {k} % 6 = 0 THEN '' ELSE
+         '{{"key":"step-1","label":" Filed ","status":"COMPLETED","date":"' || {d.fmt('o_orderdate', 'ymd')} || '"}},{{"key":"step-2","label":"Vote","status":"maybe"}},{{"key":" ","label":"x"}}' END || ']}},'
+      || '"enrichment":{{"people":[{{"name":" Jane ' || {s('o_custkey')} || ' ","role":" ","confidence":0.9,"evidence":[{{"quote":"q1"}}]}},{{"name":" "}}],'
+      || '"organizations":[{{"name":"City Council","type_guess":"Government","confidence":"0.' || {s(k + ' % 10')} || '"}},{{"name":"Acme","type_guess":"guild","confidence":2}}],'
+      || '"locations":[{{"name":"Old Town","address":"' || {s(k + ' % 100')} || ' Elm St","confidence":0.6}}],'
+      || '"keywords":[{{"keyword":"Road Works ' || {s(k + ' % 13')} || '","confidence":0.8}},{{"keyword":"road works ' || {s(k + ' % 13')} || '","confidence":0.7}}],'
+      || '"issue_areas":[{{"slug":"Brand-' || {s(k + ' % 30')} || '","confidence":0.7}}],"confidence":0.6}},'
+      || '"explainer":{{"whats_happening":" News ' || {s(k)} || ' ","why_it_matters":" ","key_details":["a"," ","b","c","d","e","f"],"what_to_watch":null,'
+      || '"evidence":{{"whats_happening":[{{"quote":"shown"}}],"why_it_matters":[{{"quote":" "}}]}}}},"confidence":0.4}}' END AS payload
+    FROM @orders"""
 
 
 @_view

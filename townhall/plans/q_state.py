@@ -129,9 +129,9 @@ def resolve_items(s):
     items = _good(s).join(_matches(s).select("pos", "article_id"), "pos", "left")
     key = F.when(F.col("article_id").isNull(), F.coalesce("canonical_url", "source_url"))
     items = items.withColumn("new_key", key)
-    top = s.view("v_known_article").agg(F.max("id").alias("_top"))
-    fresh = items.filter("article_id IS NULL").select("city_id", "new_key").distinct().crossJoin(F.broadcast(top))
-    fresh = number_rows(fresh, F.concat_ws("|", F.col("city_id").cast("string"), F.col("new_key")), "new_id", F.col("_top")).drop("_top")
+    top = s.view("v_known_article").agg(F.max("id")).scalar()
+    fresh = items.filter("article_id IS NULL").select("city_id", "new_key").distinct()
+    fresh = number_rows(fresh, F.concat_ws("|", F.col("city_id").cast("string"), F.col("new_key")), "new_id", top)
     return items.join(fresh, ["city_id", "new_key"], "left").withColumn("article_id", F.coalesce("article_id", "new_id")).drop("new_id", "new_key")
 
 
