@@ -459,3 +459,41 @@ def v_date_text(d):
                 ELSE {d.fmt(hour, 'ics')} END AS ics_text,
            CASE WHEN {k} % 5 = 0 THEN 'America/Los_Angeles' ELSE NULL END AS tzid
     FROM @orders"""
+
+
+@_view
+def v_question(d):
+    return """
+    SELECT o_orderkey AS query_id, o_orderkey % 25 + 1 AS city_id,
+           CASE o_orderkey % 5 WHEN 0 THEN 'How do I object?' WHEN 1 THEN 'Budget news' WHEN 2 THEN 'When is the HEARING'
+                WHEN 3 THEN o_orderpriority ELSE 'can I Sign Up today' END AS question
+    FROM @orders"""
+
+
+@_view
+def v_candidate(d):
+    return """
+    SELECT l_orderkey AS query_id, l_partkey % (SELECT count(*) FROM @documents) + 1 AS article_id,
+           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS candidate_pos
+    FROM @lineitem"""
+
+
+@_view
+def v_entity(d):
+    return f"""
+    SELECT l_orderkey AS article_id, CASE l_linenumber % 4 WHEN 0 THEN 'Organization' WHEN 1 THEN 'person' WHEN 2 THEN 'location' ELSE 'organization' END AS entity_type,
+           CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_suppkey + 1 END AS entity_id,
+           CASE WHEN l_partkey % 11 = 0 THEN ' ' WHEN l_partkey % 7 = 0 THEN ' Parks Commission ' ELSE p_name END AS display_name
+    FROM @lineitem JOIN @part ON l_partkey = p_partkey"""
+
+
+@_view
+def v_scores(d):
+    flat = f"""'"agency":0.' || {d.str('doc_id % 10')} || ',"timeliness":"0.4","relevance":null,"orientation":"high"'"""
+    just = f"""'"justifications":{{"agency":" said ' || {d.str('doc_id')} || ' ","relevance":" "}}'"""
+    return f"""
+    SELECT doc_id + 1 AS article_id,
+           CASE doc_id % 4 WHEN 0 THEN '{{' || {flat} || '}}' WHEN 1 THEN '{{"dimensions":{{' || {flat} || '}},' || {just} || '}}'
+                WHEN 2 THEN NULL ELSE '{{}}' END AS final_scores,
+           CASE WHEN doc_id % 5 = 0 THEN NULL ELSE '{{"dimensions":{{"agency":0.9}},' || {just} || '}}' END AS llm_scores
+    FROM @documents"""

@@ -261,32 +261,32 @@ def _(s):
 
 TL_CTE = """t0 AS (SELECT t.*, timezone, nullif(trim(key), '') AS ck,
   CASE WHEN date IS NULL THEN NULL WHEN date LIKE '%T%' THEN cast(date as timestamp) AT TIME ZONE timezone AT TIME ZONE 'UTC'
-    ELSE (cast(date as timestamp) + interval 12 hour) AT TIME ZONE timezone AT TIME ZONE 'UTC' END AS at,
+    ELSE (cast(date as timestamp) + interval 12 hour) AT TIME ZONE timezone AT TIME ZONE 'UTC' END AS tat,
   (cast(ends_at as timestamp) + interval 12 hour) AT TIME ZONE timezone AT TIME ZONE 'UTC' AS fin FROM v_timeline t JOIN v_city c ON c.id = t.city_id),
  t1 AS (SELECT *, coalesce(date LIKE '%T%', false) AS has_time, CASE WHEN lower(status) IN ('completed', 'current', 'upcoming', 'unknown') THEN lower(status) ELSE 'unknown' END AS given FROM t0),
- t2 AS (SELECT *, CASE WHEN at < timestamp'1998-09-30 12:00:00' THEN 'completed' WHEN at > timestamp'1998-10-02 12:00:00' THEN 'upcoming' WHEN at IS NOT NULL THEN 'current'
+ t2 AS (SELECT *, CASE WHEN tat < timestamp'1998-09-30 12:00:00' THEN 'completed' WHEN tat > timestamp'1998-10-02 12:00:00' THEN 'upcoming' WHEN tat IS NOT NULL THEN 'current'
     WHEN lower(ck) = lower(current_key) AND given <> 'completed' THEN 'current' ELSE given END AS st,
-    CASE WHEN lower(ck) IN ('public_comment_period', 'comment_period', 'application_period') AND fin >= at AND timestamp'1998-10-01 12:00:00' BETWEEN at AND fin THEN 'OPEN NOW' END AS badge FROM t1)"""
+    CASE WHEN lower(ck) IN ('public_comment_period', 'comment_period', 'application_period') AND fin >= tat AND timestamp'1998-10-01 12:00:00' BETWEEN tat AND fin THEN 'OPEN NOW' END AS badge FROM t1)"""
 
 
 def _timeline(s):
     return s.view("v_timeline").join(_cities(s), "city_id", "left")
 
 
-@query("timeline_status", with_views(f"SELECT article_id, idx, ck AS clean_key, st AS item_status, badge, has_time, {stamp_sql('at')} AS at FROM t2", "v_timeline", "v_city", extra=TL_CTE))
+@query("timeline_status", with_views(f"SELECT article_id, idx, ck AS clean_key, st AS item_status, badge, has_time, {stamp_sql('tat')} AS at_utc FROM t2", "v_timeline", "v_city", extra=TL_CTE))
 def _(s):
-    return timeline.item_status(_timeline(s), as_of()).select("article_id", "idx", "clean_key", "item_status", "badge", "has_time", stamp("at").alias("at"))
+    return timeline.item_status(_timeline(s), as_of()).select("article_id", "idx", "clean_key", "item_status", "badge", "has_time", stamp("at").alias("at_utc"))
 
 
 TI_CTE = TL_CTE + """, f AS (SELECT *, CASE st WHEN 'completed' THEN 1 WHEN 'current' THEN 2 WHEN 'upcoming' THEN 3 ELSE 4 END AS w FROM t2 WHERE ck IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY article_id, lower(ck) ORDER BY idx) = 1),
  g AS (SELECT *, min(CASE WHEN prev IS NULL OR w >= prev THEN 1 ELSE 0 END) OVER (PARTITION BY article_id) AS clean FROM (SELECT *, lag(w) OVER (PARTITION BY article_id ORDER BY idx) AS prev FROM f)),
- items AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY CASE WHEN clean = 1 THEN 0 ELSE w END, CASE WHEN clean = 1 THEN NULL ELSE at END ASC NULLS LAST, idx) AS position FROM g)"""
+ items AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY CASE WHEN clean = 1 THEN 0 ELSE w END, CASE WHEN clean = 1 THEN NULL ELSE tat END ASC NULLS LAST, idx) AS position FROM g)"""
 
 
-@query("timeline_items", with_views(f"SELECT article_id, position, ck AS clean_key, label, st AS item_status, badge, {stamp_sql('at')} AS at FROM items", "v_timeline", "v_city", extra=TI_CTE))
+@query("timeline_items", with_views(f"SELECT article_id, position, ck AS clean_key, label, st AS item_status, badge, {stamp_sql('tat')} AS at_utc FROM items", "v_timeline", "v_city", extra=TI_CTE))
 def _(s):
-    return timeline.timeline_items(_timeline(s), as_of()).select("article_id", "position", "clean_key", "label", "item_status", "badge", stamp("at").alias("at"))
+    return timeline.timeline_items(_timeline(s), as_of()).select("article_id", "position", "clean_key", "label", "item_status", "badge", stamp("at").alias("at_utc"))
 
 
 @query("article_explainers", f"""SELECT {K} AS article_id, CASE WHEN {BAD} THEN NULL ELSE 'News ' || {K} END AS whats_happening, CASE WHEN {BAD} THEN NULL ELSE 'a,b,c,d,e' END AS key_details,
