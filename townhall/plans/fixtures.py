@@ -283,7 +283,8 @@ def v_event(d):
 @_view
 def v_event_source_item(d):
     return f"""
-    SELECT l_orderkey * 100 + l_linenumber * 10 + l_partkey % 10 AS id, l_orderkey + 1 AS event_id, l_suppkey + 1 AS event_source_id,
+    SELECT lpad({d.str('l_orderkey')}, 10, '0') || lpad({d.str('l_linenumber')}, 2, '0')
+             || lpad({d.str('l_partkey')}, 8, '0') || lpad({d.str('l_suppkey')}, 6, '0') AS id, l_orderkey + 1 AS event_id, l_suppkey + 1 AS event_source_id,
            '{{"part":' || {d.str('l_partkey')} || '}}' AS raw_payload
     FROM @lineitem"""
 
@@ -497,3 +498,106 @@ def v_scores(d):
                 WHEN 2 THEN NULL ELSE '{{}}' END AS final_scores,
            CASE WHEN doc_id % 5 = 0 THEN NULL ELSE '{{"dimensions":{{"agency":0.9}},' || {just} || '}}' END AS llm_scores
     FROM @documents"""
+
+
+# --- raw payloads: ten orders per payload ---------------------------------------
+
+PAYLOAD_HEAD = """cast({idiv} as bigint) AS payload_id, {idiv} % (SELECT count(*) FROM @supplier) + 1 AS source_id, {idiv} % 25 + 1 AS city_id,
+           'https://feed.example.org/list/' || {idiv_s} || '/index' AS request_url"""
+
+
+def _payload(d, item, before="''", after="''", order="o_orderkey"):
+    idiv = d.idiv("o_orderkey", "10")
+    head = PAYLOAD_HEAD.format(idiv=idiv, idiv_s=d.str(idiv))
+    return f"""
+    SELECT payload_id, source_id, city_id, request_url, {before} || {d.agg('item', 'ord')} || {after} AS body
+    FROM (SELECT {head}, o_orderkey AS ord, {item} AS item FROM @orders) x GROUP BY payload_id, source_id, city_id, request_url"""
+
+
+@_view
+def v_payload_rss(d):
+    k = "o_orderkey"
+    item = f"""'<item><title>' || CASE WHEN {k} % 17 = 0 THEN ' ' ELSE 'News ' || {d.str(k)} END || '</title><link>https://n.example.org/' || {d.str(k)}
+      || '</link><description>&lt;p&gt;Short  ' || {d.str('o_custkey')} || '&lt;/p&gt;</description>'
+      || CASE WHEN {k} % 3 = 0 THEN '<content:encoded><![CDATA[<div>Full <b>text</b>  ' || {d.str(k)} || '</div>]]></content:encoded>' ELSE '' END
+      || '<pubDate>' || {d.fmt('o_orderdate', 'rfc')} || ' -0600</pubDate><guid>g-' || {d.str(k)} || '</guid></item>'"""
+    return _payload(d, item, "'<rss version=\"2.0\" xmlns:content=\"http://purl.org/rss/1.0/modules/content/\"><channel><title>Feed</title>'", "'</channel></rss>'")
+
+
+@_view
+def v_payload_rss_events(d):
+    k = "o_orderkey"
+    item = f"""'<item><title>Show ' || {d.str(k)} || CASE {k} % 3 WHEN 0 THEN ' on ' || {d.fmt('o_orderdate', 'ymd')} || ' 18:30' ELSE '' END || '</title><link>/e/' || {d.str(k)}
+      || '</link><description>About it</description>' || CASE WHEN {k} % 3 = 2 THEN '' ELSE '<pubDate>' || {d.fmt('o_orderdate', 'rfc')} || ' -0600</pubDate>' END || '<guid>e-' || {d.str(k)} || '</guid></item>'"""
+    return _payload(d, item, "'<rss version=\"2.0\"><channel><title>Feed</title>'", "'</channel></rss>'")
+
+
+@_view
+def v_payload_ics(d):
+    k = "o_orderkey"
+    nl = "chr(13) || chr(10)"
+    item = f"""'BEGIN:VEVENT' || {nl} || 'UID:u-' || {d.str(k)} || {nl}
+      || CASE WHEN {k} % 13 = 0 THEN '' ELSE 'SUMMARY:Meeting ' || {nl} || '  ' || {d.str(k)} || {nl} END
+      || CASE {k} % 3 WHEN 0 THEN 'DTSTART;VALUE=DATE:' || {d.fmt('o_orderdate', 'compact')} WHEN 1 THEN 'DTSTART:' || {d.fmt(d.plus('o_orderdate', 'HOUR', k + ' % 24'), 'ics')} || 'Z'
+           ELSE 'DTSTART;TZID=America/Denver:' || {d.fmt(d.plus('o_orderdate', 'HOUR', k + ' % 24'), 'ics')} || {nl} || 'DTEND:' || {d.fmt(d.plus('o_orderdate', 'HOUR', k + ' % 24 + 1'), 'ics')} END || {nl}
+      || CASE {k} % 4 WHEN 0 THEN 'LOCATION:<b>Hall</b>' WHEN 1 THEN 'LOCATION:Hall ' || {d.str(k + ' % 9')} ELSE 'LOCATION: ' END || {nl}
+      || CASE {k} % 5 WHEN 0 THEN 'DESCRIPTION:/event/' || {d.str(k)} WHEN 1 THEN 'DESCRIPTION:Some words here' ELSE 'CLASS:PUBLIC' END || {nl}
+      || CASE {k} % 2 WHEN 0 THEN 'URL:https://feed.example.org/list/' || {d.str(d.idiv(k, '10'))} || '/index' ELSE 'URL:sub/' || {d.str(k)} END || {nl}
+      || 'SUMMARY:second value' || {nl} || 'END:VEVENT' || {nl}"""
+    return _payload(d, item, f"'BEGIN:VCALENDAR' || {nl}", "'END:VCALENDAR'")
+
+
+@_view
+def v_payload_json(d):
+    k = "o_orderkey"
+    start = d.fmt(d.plus("o_orderdate", "MINUTE", k + " % 48 * 30"), "iso")
+    idiv = d.idiv(k, "10")
+    item = f"""'{{{{"id":' || {d.str(k)} || ',"title":"' || CASE WHEN {k} % 12 = 0 THEN '' ELSE 'Event ' || {d.str(k)} END || '","start_date":"'
+      || CASE {k} % 6 WHEN 0 THEN '' WHEN 1 THEN {d.fmt('o_orderdate', 'ymd')} ELSE {start} END || '","url":"'
+      || CASE {k} % 2 WHEN 0 THEN '/e//' || {d.str(k)} ELSE 'https://x.example.org//e//' || {d.str(k)} END || '","description":"'
+      || CASE {k} % 3 WHEN 0 THEN '<h4>Venue</h4><p>x</p><h4 class=v> Arena <i>' || {d.str(k + ' % 7')} || '</i></h4>' ELSE '' END || '","long_description":"' || CASE {k} % 4 WHEN 0 THEN 'Long' ELSE '' END
+      || '","venue":{{{{"name":"V' || {d.str(k + ' % 5')} || '","address":"1 Main"}}}},"location":' || CASE {k} % 5 WHEN 0 THEN 'null' ELSE '"Room ' || {d.str(k + ' % 5')} || '"' END
+      || ',"library":"Central","state":"KS","city":"' || CASE {k} % 4 WHEN 1 THEN '' ELSE 'Town' END || '","all_day":' || CASE {k} % 7 WHEN 0 THEN '"Yes"' ELSE 'null' END
+      || ',"startTime":"' || CASE {k} % 3 WHEN 0 THEN '' ELSE '19:30:00' END || '"}}}}' """.replace("{{", "{").replace("}}", "}")
+    head = PAYLOAD_HEAD.format(idiv=idiv, idiv_s=d.str(idiv))
+    return f"""
+    SELECT payload_id, source_id, city_id, request_url, '{{"data":{{"events":[' || {d.agg('item', 'ord', "','")} || ']}}}}' AS body
+    FROM (SELECT {head}, o_orderkey AS ord, {item} AS item FROM @orders) x GROUP BY payload_id, source_id, city_id, request_url"""
+
+
+@_view
+def v_payload_html(d):
+    k = "o_orderkey"
+    item = f"""'<div class="card event" data-year="' || {d.fmt('o_orderdate', 'y')} || '"><h3 class="name"><a href="/ev/' || {d.str(k + ' % 1000')} || '">' || CASE WHEN {k} % 11 = 0 THEN '' ELSE 'Talk  &amp; Tea ' || {d.str(k)} END
+      || '</a></h3><div class="meta">' || CASE {k} % 4 WHEN 0 THEN {d.fmt('o_orderdate', 'md')} || ', 7 pm - 8:30 pm' WHEN 1 THEN {d.fmt('o_orderdate', 'mdy')} WHEN 2 THEN 'soon' ELSE {d.fmt('o_orderdate', 'md')} || ' 9:15 am' END
+      || CASE WHEN {k} % 3 = 0 THEN '' ELSE ' - <span class="location">Pier ' || {d.str(k + ' % 8')} || '</span>' END
+      || '</div><span class="date">' || {d.fmt('o_orderdate', 'mdy')} || '</span><span class="time">' || CASE {k} % 2 WHEN 0 THEN '10 am' ELSE '' END || '</span>'
+      || CASE WHEN {k} % 9 = 0 THEN '<time datetime="' || {d.fmt(d.plus('o_orderdate', 'HOUR', '20'), 'iso')} || '">tonight</time>' ELSE '' END
+      || '<div class="description"><p class="description_short">Short ' || {d.str(k)} || '</p></div></div>'"""
+    return _payload(d, item, "'<html><body><div id=\"list\">'", "'</div></body></html>'")
+
+
+@_view
+def v_listing_page(d):
+    k = "o_orderkey"
+    item = f"""'<li><a class="story" href="' || CASE {k} % 6 WHEN 0 THEN '' WHEN 1 THEN '/stories/' || {d.str(k + ' % 5')} WHEN 2 THEN 'a/' || {d.str(k)} WHEN 3 THEN '//cdn.example.org/' || {d.str(k)}
+        WHEN 4 THEN 'https://docs.google.com/d/' || {d.str(k + ' % 4')} ELSE 'Archive.aspx?ADID=' || {d.str(k + ' % 3')} END || '"> Story  <b>' || CASE WHEN {k} % 7 = 0 THEN '' ELSE {d.str(k)} END || '</b></a></li>'"""
+    return _payload(d, item, "'<html><body><p>Date: ' || " + d.fmt("min(day)", "mdy") + " || '</p><ul>'", "'</ul></body></html>'").replace(
+        "o_orderkey AS ord,", "o_orderkey AS ord, o_orderdate AS day,")
+
+
+@_view
+def v_page(d):
+    """The given pages with head metadata added to some of them."""
+    p = d.str("page_id")
+    q = '\"'
+    return f"""
+    SELECT page_id, url, replace(html, '<head>', '<head>'
+      || CASE WHEN page_id % 2 = 0 THEN '<link rel="canonical" href="/canon/' || {p} || '">' ELSE '' END
+      || CASE WHEN page_id % 5 = 0 THEN '<meta property="og:url" content="https://og.example.org/' || {p} || '">' ELSE '' END
+      || CASE WHEN page_id % 3 = 0 THEN '<meta property="og:title" content="OG ' || {p} || '">' ELSE '' END
+      || CASE WHEN page_id % 4 = 0 THEN '<meta name="twitter:title" content="TW ' || {p} || '">' ELSE '' END
+      || CASE WHEN page_id % 3 = 1 THEN '<meta property="article:published_time" content="2024-06-0' || {d.str('page_id % 9 + 1')} || 'T12:00:00Z">' ELSE '' END
+      || CASE WHEN page_id % 3 = 2 THEN '<meta name="date" content="never">' ELSE '' END
+      || CASE WHEN page_id % 2 = 1 THEN '<meta name="description" content="About ' || {p} || '">' ELSE '' END)
+      || CASE WHEN page_id % 3 = 2 THEN '<time datetime="2024-07-0' || {d.str('page_id % 9 + 1')} || '">x</time>' ELSE '' END AS html FROM @pages"""
