@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,13 +49,13 @@ def claim_values(rows: DataFrame) -> DataFrame:
 
 
 def enrich(outputs: DataFrame, cities: DataFrame, scrapers: DataFrame, organizations: DataFrame, areas: DataFrame,
-           keywords: DataFrame, as_of: Column) -> Enriched:
+           keywords: DataFrame, as_of: Column, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> Enriched:
     """All tables one enrichment pass writes.
 
-    The answers are parsed once per output table; materialise ``normalize_outputs``
-    first (a written table) when several outputs are written in one job.
+    ``settle`` writes and re-reads the normalised answers, so that the JSON is parsed
+    once although seven tables are made from it.
     """
-    normal = normalize_outputs(outputs)
+    normal = settle(normalize_outputs(outputs))
     claim_rows = claim_values(claims.explode_claims(normal))
     usable = claims.usable_claims(claim_rows)
     dictionary = claims.keyword_dictionary(usable, keywords)

@@ -601,3 +601,13 @@ def v_page(d):
       || CASE WHEN page_id % 3 = 2 THEN '<meta name="date" content="never">' ELSE '' END
       || CASE WHEN page_id % 2 = 1 THEN '<meta name="description" content="About ' || {p} || '">' ELSE '' END)
       || CASE WHEN page_id % 3 = 2 THEN '<time datetime="2024-07-0' || {d.str('page_id % 9 + 1')} || '">x</time>' ELSE '' END AS html FROM @pages"""
+
+
+def view_over(spark: SparkSession, sf_dir: str, name: str, **tables: DataFrame) -> DataFrame:
+    """A derived view in which some base tables are given DataFrames, such as a micro-batch."""
+    text = view_sql(name, sf_dir)
+    for t, df in tables.items():
+        alias = f"batch_{t}"
+        df.createOrReplaceTempView(alias)
+        text = text.replace(SparkDialect().table(t, sf_dir), alias)
+    return spark.sql(text)

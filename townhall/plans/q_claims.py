@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import functions as F
 
 from townhall import config as C
@@ -9,6 +11,7 @@ from townhall.functions.text import slugify
 from townhall.operators import actions, claims, enrich, timeline
 from townhall.plans.fixtures import with_views
 from townhall.plans.registry import query, stamp, stamp_sql
+from townhall.session import settle
 
 AS_OF = "1998-10-01 12:00:00"
 K = "o_orderkey"
@@ -20,7 +23,7 @@ def as_of():
 
 
 def _parsed(s):
-    return claims.read_payload(s.view("v_model_output"))
+    return claims.read_payload(s.wide("v_model_output"))
 
 
 def _cities(s):
@@ -104,7 +107,7 @@ UNION ALL SELECT {K}, 6, 'article_issue_area', '{{"slug":"brand-' || {K} % 30 ||
 
 @query("explode_claims", f"SELECT *, sha1(value_json) AS value_hash, 'proposed' AS status FROM ({EXPLODED})")
 def _(s):
-    rows = claims.explode_claims(enrich.normalize_outputs(s.view("v_model_output")))
+    rows = claims.explode_claims(enrich.normalize_outputs(s.wide("v_model_output")))
     return rows.select("article_id", "pos", "claim_type", "value_json", "confidence",
                        F.when(F.col("evidence").isNull(), 0).otherwise(F.size("evidence")).alias("n_evidence"), "value_hash", "status")
 
@@ -305,7 +308,8 @@ def _(s):
 def enriched(s):
     areas = s.view("v_issue_area")
     no_keywords = s.view("v_issue_area").limit(0).select("id", "city_id", "slug", F.col("slug").alias("name"))
-    return enrich.enrich(s.view("v_model_output"), _cities(s), s.view("v_scraper"), s.view("v_org"), areas, no_keywords, as_of())
+    return enrich.enrich(s.wide("v_model_output"), _cities(s), s.view("v_scraper"), s.view("v_org"), areas, no_keywords, as_of(),
+                         lambda df: settle(df, tempfile.gettempdir() + "/townhall-settled"))
 
 
 @query("enrich_articles", with_views(f"""SELECT {K} AS article_id, CASE WHEN {BAD} THEN 0 ELSE 7 END AS n_claims, CASE WHEN {BAD} THEN 0 ELSE 1 END AS n_keywords,

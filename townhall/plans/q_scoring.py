@@ -73,16 +73,16 @@ def _c(select, extra=COUNTS_SQL):
 
 
 def _signals(s):
-    return H.text_signals(s.view("civic_text"), as_of())
+    return H.text_signals(s.wide("civic_text"), as_of())
 
 
 def _scored(s):
-    return H.score_articles(s.view("civic_text"), s.view("v_scraper"), s.view("v_org"), as_of())
+    return H.score_articles(s.wide("civic_text"), s.view("v_scraper"), s.view("v_org"), as_of())
 
 
 @query("scoring_text", _c("SELECT article_id, t AS scoring_text FROM txt", TEXT_SQL))
 def _(s):
-    return s.view("civic_text").select("article_id", H.scoring_text().alias("scoring_text"))
+    return s.wide("civic_text").select("article_id", H.scoring_text().alias("scoring_text"))
 
 
 @query("text_counts", _c("SELECT article_id, w AS word_count, s AS sentence_count, y AS syllable_count FROM counts"))

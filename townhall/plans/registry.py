@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall.plans.fixtures import table, view
-from townhall.session import prepare
+from townhall.plans.fixtures import table, view, view_over
+from townhall.session import prepare, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,10 @@ class Source:
     def view(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
 
+    def wide(self, name: str, base: str = "orders") -> DataFrame:
+        """A derived view whose base table is spread first, for work that is heavy per row."""
+        return view_over(self.spark, self.sf_dir, name, **{base: spread(self.table(base))})
+
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Wall-clock columns are TIMESTAMP_NTZ and instants are formatted in UTC, so the
 # session zone must not move with the machine. Skewed join keys are split at run
@@ -24,10 +26,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(app: str = "townhall", cores: str = "*", shuffle: int = 8) -> SparkSession:
+def local_session(app: str = "townhall", cores: str = "*", shuffle: int = 8, checkpoints: str | None = None) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
+    builder = SparkSession.builder if checkpoints is None else SparkSession.builder.config("spark.checkpoint.dir", checkpoints)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "12g")
@@ -39,6 +42,25 @@ def local_session(app: str = "townhall", cores: str = "*", shuffle: int = 8) ->
     return prepare(spark)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a plain table scan that has fewer splits than the session has cores.
+
+    Large inputs already have more splits than cores and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def settle(df: DataFrame, fallback: str | None = None) -> DataFrame:
+    """Write an intermediate result that several outputs share to the checkpoint folder and read it back.
+
+    The table survives lost executors and cuts the lineage.
+    """
+    path = f"{checkpoint_dir(df.sparkSession, fallback)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
