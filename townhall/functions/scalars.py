@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from townhall.config import BULLET_LIMIT
-from townhall.functions.text import blank_to_null, clean_location, norm_location, norm_title, trim_all
+from townhall.functions.text import blank_to_null, norm_title, trim_all
 
 
 def clamp01(c: Column) -> Column:
@@ -28,15 +28,15 @@ def json_hash(fields: dict[str, Column]) -> Column:
 def source_hash(given: Column, city: Column, title: Column, starts_at_utc: Column,
                 name: Column, address: Column) -> Column:
     """Identity of a calendar event: the given key, else city, title, UTC start and place."""
-    key = blank_to_null(given)
+    key = trim_all(given)
     natural = F.concat_ws(
         "|", city.cast("string"), norm_title(title),
         F.date_format(starts_at_utc, "yyyy-MM-dd HH:mm:ss"),
-        norm_location(clean_location(name), clean_location(address)),
+        norm_title(F.replace(F.concat_ws(" ", name, address), F.lit("\\"), F.lit(""))),
     )
     return (
         F.when(key.rlike("^[0-9a-fA-F]{40}$"), F.lower(key))
-        .when(key.isNotNull(), F.sha1(key.cast("binary")))
+        .when(F.length(key) > 0, F.sha1(key.cast("binary")))
         .otherwise(F.sha1(natural.cast("binary")))
     )
 

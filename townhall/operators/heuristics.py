@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 
 from townhall import config as C
 from townhall.functions.dates import let, parse_date_part
-from townhall.functions.text import any_phrase, blank_to_null, extract_urls, phrase_hits, word
+from townhall.functions.text import any_phrase, extract_urls, phrase_hits, trim_all, word
 from townhall.functions.scalars import clamp01
 
 
 def scoring_text() -> Column:
     """Title, summary and cleaned text, blanks skipped."""
-    keep = lambda c: F.when(F.length(F.trim(c)) > 0, c)
-    return F.regexp_replace(
-        F.concat_ws(" ", *[F.when(blank_to_null(F.col(c)).isNotNull(), F.col(c)) for c in ("title", "summary", "cleaned_text")]),
-        r"^\s+|\s+$", "")
+    some = lambda c: F.when(F.length(trim_all(F.col(c))) > 0, F.col(c))
+    return trim_all(F.concat_ws(" ", *[some(c) for c in ("title", "summary", "cleaned_text")]))
 
 
 def words(text: Column) -> Column:

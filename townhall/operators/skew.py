@@ -5,34 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_SALT = 2_000_000
 
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None, salts: int = 1) -> DataFrame:
+    """Join ``left`` to ``right``, which has one row per key (inner or left).
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                rows_per_salt: int = ROWS_PER_SALT, spread: str | None = None) -> DataFrame:
-    """Join ``left`` to ``right`` (one row per key), salting only keys that are measured as hot.
-
-    Keys of ``left`` are counted with map-side combine. A key with more than
-    ``rows_per_salt`` rows gets count / rows_per_salt salts: its left rows are spread
-    by a hash of ``spread`` and its single right row is repeated once per salt. At
-    most rows / rows_per_salt keys can be hot, so the hot list stays small; its
-    join strategy is left to run-time sizes. Null keys never match and never
-    reach the shuffle of the inner join.
+    Only the left side can be skewed. With ``salts`` = 1 a hot key is split at run
+    time: the session turns on skew-join splitting and forces it also where it costs
+    an extra exchange, and the small side of a split is read again, not the input.
+    With more salts the rows of every key are spread by a hash of ``spread`` over
+    that many tasks and the right side is repeated as often; use it where a hot key
+    is known beforehand and the right side is narrow.
     """
-    hot = (
-        left.groupBy(*keys).agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > rows_per_salt)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts"))
-    )
-    spread_col = F.col(spread) if spread else F.monotonically_increasing_id()
-    salted_left = (
-        left.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread_col), F.col("_salts")).cast("int")))
-        .drop("_salts")
-    )
-    salted_right = (
-        right.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))))
-        .drop("_salts")
-    )
+    if salts <= 1:
+        return left.join(right, keys, how)
+    if spread is None:
+        raise ValueError("salting needs a column to spread by")
+    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")

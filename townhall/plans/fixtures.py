@@ -217,7 +217,7 @@ def v_item(d):
     city = "l_orderkey % 25 + 1"
     return f"""
     SELECT lpad({d.str('l_orderkey')}, 10, '0') || lpad({d.str('l_linenumber')}, 2, '0')
-             || lpad({d.str('l_partkey')}, 8, '0') || lpad({d.str('l_suppkey')}, 6, '0') AS pos,
+             || lpad({d.str('l_partkey')}, 8, '0') || lpad({d.str('l_suppkey')}, 6, '0') || lpad({d.str('cast(round(l_extendedprice * 100) as bigint)')}, 10, '0') AS pos,
            l_orderkey % 1000 AS run_id, {city} AS city_id, l_suppkey + 1 AS scraper_id,
            CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE 'Item ' || {d.str('l_partkey')} END AS title,
            CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE 'About ' || p_name END AS summary,
@@ -256,7 +256,7 @@ def v_known_source(d):
 def v_event_item(d):
     return f"""
     SELECT lpad({d.str('l_orderkey')}, 10, '0') || lpad({d.str('l_linenumber')}, 2, '0')
-             || lpad({d.str('l_partkey')}, 8, '0') || lpad({d.str('l_suppkey')}, 6, '0') AS pos,
+             || lpad({d.str('l_partkey')}, 8, '0') || lpad({d.str('l_suppkey')}, 6, '0') || lpad({d.str('cast(round(l_extendedprice * 100) as bigint)')}, 10, '0') AS pos,
            l_suppkey + 1 AS event_source_id, cast(s_nationkey + 1 as bigint) AS city_id, l_orderkey % 500 AS run_id,
            CASE WHEN l_partkey % 101 = 0 THEN '  ' WHEN l_orderkey % 2 = 0 THEN '  ' || upper(p_name) || '  ' ELSE p_name END AS title,
            CASE WHEN l_partkey % 103 = 0 THEN NULL ELSE {d.plus('l_shipdate', 'HOUR', 'l_suppkey % 12 + 8')} END AS starts_at_local,
@@ -284,7 +284,7 @@ def v_event(d):
 def v_event_source_item(d):
     return f"""
     SELECT lpad({d.str('l_orderkey')}, 10, '0') || lpad({d.str('l_linenumber')}, 2, '0')
-             || lpad({d.str('l_partkey')}, 8, '0') || lpad({d.str('l_suppkey')}, 6, '0') AS id, l_orderkey + 1 AS event_id, l_suppkey + 1 AS event_source_id,
+             || lpad({d.str('l_partkey')}, 8, '0') || lpad({d.str('l_suppkey')}, 6, '0') || lpad({d.str('cast(round(l_extendedprice * 100) as bigint)')}, 10, '0') AS id, l_orderkey + 1 AS event_id, l_suppkey + 1 AS event_source_id,
            '{{"part":' || {d.str('l_partkey')} || '}}' AS raw_payload
     FROM @lineitem"""
 
@@ -293,7 +293,7 @@ def v_event_source_item(d):
 def v_claim(d):
     return f"""
     SELECT lpad({d.str('l_orderkey')}, 10, '0') || lpad({d.str('l_linenumber')}, 2, '0')
-             || lpad({d.str('l_partkey')}, 8, '0') || lpad({d.str('l_suppkey')}, 6, '0') AS pos,
+             || lpad({d.str('l_partkey')}, 8, '0') || lpad({d.str('l_suppkey')}, 6, '0') || lpad({d.str('cast(round(l_extendedprice * 100) as bigint)')}, 10, '0') AS pos,
            l_orderkey AS article_id, l_orderkey % 25 + 1 AS city_id,
            CASE l_linenumber % 5 WHEN 0 THEN 'article_mentions_person' WHEN 1 THEN 'article_mentions_org'
                 WHEN 2 THEN 'article_mentions_location' WHEN 3 THEN 'article_keyword' ELSE 'article_issue_area' END AS claim_type,
@@ -361,7 +361,7 @@ def v_opportunity(d):
 def v_timeline(d):
     return f"""
     SELECT l_orderkey AS article_id, l_orderkey % 25 + 1 AS city_id,
-           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS idx,
+           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS idx,
            CASE WHEN l_linenumber = 7 THEN ' ' WHEN l_linenumber = 6 THEN 'STEP-1' WHEN l_linenumber = 5 THEN 'Comment_Period'
                 ELSE 'step-' || {d.str('l_linenumber')} END AS key,
            'Label ' || {d.str('l_partkey % 50')} AS label,
@@ -475,7 +475,7 @@ def v_question(d):
 def v_candidate(d):
     return """
     SELECT l_orderkey AS query_id, l_partkey % (SELECT count(*) FROM @documents) + 1 AS article_id,
-           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS candidate_pos
+           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS candidate_pos
     FROM @lineitem"""
 
 

@@ -116,7 +116,7 @@ USABLE = "usable AS (SELECT *, nullif(regexp_replace(value_text, '^\\s+|\\s+$',
 
 
 def _usable(s):
-    return claims.usable_claims(s.view("v_claim"))
+    return claims.usable_claims(s.wide("v_claim", "lineitem"))
 
 
 @query("claim_filter", with_views("SELECT pos, claim_type, status, confidence FROM usable", "v_claim", extra=USABLE))
@@ -193,7 +193,7 @@ BODY_CTE = """cand AS (SELECT article_id, trim(value_text) AS name, pos FROM v_c
 
 @query("decision_body", with_views("SELECT * FROM bodies", "v_claim", "civic_text", "v_scraper", "v_org", extra=BODY_CTE))
 def _(s):
-    return claims.decision_body(s.view("v_claim"), s.view("civic_text"), s.view("v_scraper"), s.view("v_org"))
+    return claims.decision_body(s.wide("v_claim", "lineitem"), s.view("civic_text"), s.view("v_scraper"), s.view("v_org"))
 
 
 ACT_CTE = """bodies AS (SELECT DISTINCT article_id, 'Council ' || article_id AS decision_body FROM v_opportunity WHERE article_id % 2 = 0),
@@ -273,7 +273,7 @@ TL_CTE = """t0 AS (SELECT t.*, timezone, nullif(trim(key), '') AS ck,
 
 
 def _timeline(s):
-    return s.view("v_timeline").join(_cities(s), "city_id", "left")
+    return s.wide("v_timeline", "lineitem").join(_cities(s), "city_id", "left")
 
 
 @query("timeline_status", with_views(f"SELECT article_id, idx, ck AS clean_key, st AS item_status, badge, has_time, {stamp_sql('tat')} AS at_utc FROM t2", "v_timeline", "v_city", extra=TL_CTE))

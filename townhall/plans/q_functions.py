@@ -15,7 +15,7 @@ LOC = lambda e: f"nullif({SQUISH(f'replace({e}, chr(92), chr(39)[1:0])')}, '')"
 
 @query("norm_title", with_views(f"SELECT pos, lower({SQUISH('title')}) AS title_norm FROM v_event_item", "v_event_item"))
 def _(s):
-    return s.view("v_event_item").select("pos", text.norm_title(F.col("title")).alias("title_norm"))
+    return s.wide("v_event_item", "lineitem").select("pos", text.norm_title(F.col("title")).alias("title_norm"))
 
 
 NORM_LOC = f"lower({SQUISH('concat_ws(chr(32), ' + LOC('location_name') + ', ' + LOC('location_address') + ')')})"
@@ -25,7 +25,7 @@ NORM_LOC = f"lower({SQUISH('concat_ws(chr(32), ' + LOC('location_name') + ', ' +
     f"SELECT pos, {LOC('location_name')} AS name_clean, {LOC('location_address')} AS address_clean, {NORM_LOC} AS location_norm FROM v_event_item", "v_event_item"))
 def _(s):
     n, a = text.clean_location(F.col("location_name")), text.clean_location(F.col("location_address"))
-    return s.view("v_event_item").select(
+    return s.wide("v_event_item", "lineitem").select(
         "pos", n.alias("name_clean"), a.alias("address_clean"), text.norm_location(n, a).alias("location_norm"))
 
 
@@ -35,7 +35,7 @@ SELECT pos, CASE WHEN event_url IS NULL THEN NULL WHEN event_url LIKE 'http%' TH
   ELSE regexp_replace(feed_url, '/[^/]*$', '/') || event_url END AS url_abs,
   'https:' || '//cdn.example.org/x' AS url_scheme FROM v_event_item""", "v_event_item"))
 def _(s):
-    return s.view("v_event_item").select(
+    return s.wide("v_event_item", "lineitem").select(
         "pos", urls.absolute_url(F.col("event_url"), F.col("feed_url")).alias("url_abs"),
         urls.absolute_url(F.lit("//cdn.example.org/x"), F.col("feed_url")).alias("url_scheme"))
 
@@ -182,7 +182,7 @@ def _(s):
     from townhall.operators.events import normalize_events
 
     city = s.view("v_city").select(F.col("id").alias("city_id"), "timezone")
-    return normalize_events(s.view("v_event_item"), city).select("pos", "source_hash")
+    return normalize_events(s.wide("v_event_item", "lineitem"), city).select("pos", "source_hash")
 
 
 @query("clean_string", """

@@ -36,7 +36,7 @@ labels AS (SELECT a AS pos, min(b) AS label FROM reach GROUP BY a)"""
 
 
 def _good(s):
-    items = s.view("v_item")
+    items = s.wide("v_item", "lineitem")
     return items.filter(dedupe.has_required(items))
 
 
@@ -68,7 +68,7 @@ def _(s):
 
 def _events(s):
     city = s.view("v_city").select(F.col("id").alias("city_id"), "timezone")
-    return normalize_events(s.view("v_event_item"), city)
+    return normalize_events(s.wide("v_event_item", "lineitem"), city)
 
 
 EV = ["v_event_item", "v_city"]
@@ -85,13 +85,13 @@ def _(s):
 FROM (SELECT i.run_id, CASE WHEN l.pos IS NULL THEN 'skipped' WHEN m.article_id IS NOT NULL OR l.label < i.pos THEN 'updated' ELSE 'created' END AS o
   FROM v_item i LEFT JOIN labels l ON l.pos = i.pos LEFT JOIN matched m ON m.pos = i.pos) GROUP BY run_id""", *KNOWN, extra=COMP_CTE, recursive=True))
 def _(s):
-    return runs.scrape_run_accounting(runs.classify_items(s.view("v_item"), _matches(s), _labels(s)))
+    return runs.scrape_run_accounting(runs.classify_items(s.wide("v_item", "lineitem"), _matches(s), _labels(s)))
 
 
 @query("event_run_accounting", with_views("""SELECT run_id, count(*) AS items_found, count(*) FILTER (trim(title) <> '' AND starts_at_local IS NOT NULL) AS items_written
 FROM v_event_item GROUP BY 1""", "v_event_item"))
 def _(s):
-    return runs.event_run_accounting(s.view("v_event_item"))
+    return runs.event_run_accounting(s.wide("v_event_item", "lineitem"))
 
 
 @query("pdf_extraction_worklist", with_views("""SELECT id, city_id, canonical_url FROM v_article a WHERE content_type = 'pdf'
@@ -195,7 +195,7 @@ CL = "article_id, claim_type, value_text, status, confidence, pos"
  UNION ALL SELECT article_id, claim_type, value_text, 'proposed', confidence, pos FROM v_claim WHERE substring(pos, 11, 2) = '07'""", "v_claim"))
 def _(s):
     cols = [c.strip() for c in CL.split(",")]
-    claims = s.view("v_claim")
+    claims = s.wide("v_claim", "lineitem")
     is_new = F.substring("pos", 11, 2) == "07"
     batch = claims.filter(is_new).withColumn("status", F.lit("proposed")).select(*cols, "source")
     old = claims.filter(~is_new).select(*cols, "source")
@@ -205,7 +205,7 @@ def _(s):
 @query("replace_projection", with_views("""SELECT article_id, idx, key FROM v_timeline t WHERE article_id % 10 <> 3
  UNION ALL SELECT article_id, idx + 100, 'new-' || key FROM v_timeline WHERE article_id % 10 = 3 AND article_id % 20 <> 3""", "v_timeline"))
 def _(s):
-    old = s.view("v_timeline").select("article_id", "idx", "key").withColumn("source", F.lit("analysis"))
+    old = s.wide("v_timeline", "lineitem").select("article_id", "idx", "key").withColumn("source", F.lit("analysis"))
     touched = old.filter("article_id % 10 = 3").select("article_id", "source")
     batch = old.filter("article_id % 10 = 3 AND article_id % 20 <> 3").withColumns({"idx": F.col("idx") + 100, "key": F.concat(F.lit("new-"), F.col("key"))})
     return merge.replace_groups(old, batch, ["article_id", "source"], touched).drop("source")

@@ -35,6 +35,8 @@ def local_session(app: str = "townhall", cores: str = "*", shuffle: int = 8, che
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Recording the call site of every expression makes wide plans slow to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
