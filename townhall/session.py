@@ -66,13 +66,13 @@ def settle(df: DataFrame, fallback: str | None = None) -> DataFrame:
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    ``fallback`` is used only where the cluster names none, as in tests.
+    ``fallback`` is used only where none is named and the session is a local one, as in tests.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if folder:
         return folder
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
+    if fallback is None or not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all machines share")
     return fallback
