@@ -125,3 +125,8 @@ CRON_BY_FREQUENCY = {
     "monthly": "0 3 1 * *",
 }
 IMPORT_TYPES = {"rss_feed": "rss", "html_scrape": "html", "json_api": "api"}
+
+# --- fixed prefixes of calendar identity keys ----------------------------
+CENTURY_KEY = "century2"
+LIBCAL_KEY = "libnet"
+SIMPLEVIEW_KEY = "visitwichita"

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from townhall import config as C
 from townhall.functions import html as H
 from townhall.functions.dates import (
     at_clock, clock_seconds, moment_utc, parse_event_date, parse_ics_date, parse_iso_date, parse_moment, to_local, to_utc,
@@ -206,7 +207,7 @@ def json_century(payloads: DataFrame, list_path: str = "events", names: dict[str
         rows, title=_titled(_text(n["title"])), starts_at=c("_s.starts_at"), ends_at=c("_e.starts_at"),
         all_day=c("_s.all_day") | F.coalesce(c("_e.all_day"), F.lit(False)), location_name=place, description=_some(_text(n["description"])),
         event_url=absolute_url(_some(_text(n["url"])), c("request_url")), external_id=_some(_text(n["id"])),
-        given_hash=F.sha1(F.concat(F.lit("century2:"), token, F.lit(":"), _text(n["start"])).cast("binary")))
+        given_hash=F.sha1(F.concat(F.lit(C.CENTURY_KEY + ":"), token, F.lit(":"), _text(n["start"])).cast("binary")))
 
 
 def json_simpleview(payloads: DataFrame, site: str, list_path: str = "docs.docs", names: dict[str, str] | None = None, year: int = 1970) -> DataFrame:
@@ -219,7 +220,7 @@ def json_simpleview(payloads: DataFrame, site: str, list_path: str = "docs.docs"
     start = F.when(c("_time") == "", c("_day").cast("timestamp_ntz")).otherwise(at_clock(c("_day"), clock_seconds(c("_time"))))
     rows = rows.withColumns({"starts_at": start, "_url": absolute_url(_some(_text(n["url"])), F.lit(site))})
     iso = F.concat(F.date_format("starts_at", "yyyy-MM-dd'T'HH:mm:ss"), utc_offset(c("starts_at"), c("zone")))
-    token = F.concat_ws(":", F.lit("visitwichita"), _text(n["id"]), _text(n["date"]), F.coalesce(_some(c("_time")), F.lit("all_day")))
+    token = F.concat_ws(":", F.lit(C.SIMPLEVIEW_KEY), _text(n["id"]), _text(n["date"]), F.coalesce(_some(c("_time")), F.lit("all_day")))
     address = F.array_join(F.filter(F.array(_text(n["street"]), _text(n["city"]), _text(n["state"])), lambda p: F.length(p) > 0), ", ")
     return _finish(
         rows, title=_titled(_text(n["title"])), starts_at=c("starts_at"), all_day=c("_time") == "",
@@ -241,7 +242,7 @@ def json_libcal(payloads: DataFrame, list_path: str = "", names: dict[str, str]
     c = F.col
     first = lambda a, b: F.coalesce(_some(_text(n[a])), _some(_text(n[b])))
     rows = json_items(payloads, list_path).withColumns({"_s": _when(first("start", "raw_start"), year), "_e": _when(first("end", "raw_end"), year)})
-    key = F.concat_ws(":", F.lit("libnet"), _some(_text(n["id"])), _some(_text(n["start"])))
+    key = F.concat_ws(":", F.lit(C.LIBCAL_KEY), _some(_text(n["id"])), _some(_text(n["start"])))
     return _finish(
         rows, title=_titled(_text(n["title"])), starts_at=c("_s.starts_at"), ends_at=c("_e.starts_at"), all_day=F.lit(False),
         location_name=first("place", "library"), description=first("long", "short"),
