@@ -19,7 +19,7 @@ SHARE = 1.5  # of all sizes
 LIMIT = 2.0  # times its source's size
 BLOCK = 512  # documents that one step of the flight works on
 MERGE = 128  # blocks whose leftovers (two documents each) meet in the next step
-LANDING = 10  # smallest documents of a source that the flight leaves to the landing
+LANDING = 12  # documents of a source, spread over its sizes, that the flight leaves to the landing
 EDGE = 1e-9
 
 
@@ -71,11 +71,13 @@ def land(size: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _fly(last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "h"], ascending=[False, True], kind="stable")
-        size, x = rows["size"].to_numpy(float), rows["x"].to_numpy(float)
+        size, x = rows["size"].to_numpy(float), rows["x"].to_numpy(float, copy=True)
         draws = (rows["h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
         if last:
-            n = max(0, len(x) - LANDING)
-            return rows.assign(x=land(size, np.concatenate([flight(size[:n], x[:n], draws[:n]), x[n:]])))
+            flying = np.ones(len(x), bool)
+            flying[np.linspace(len(x) // 5, len(x) - 1, LANDING).astype(int)] = False
+            x[flying] = flight(size[flying], x[flying], draws[flying])
+            return rows.assign(x=land(size, x))
         return rows.assign(x=flight(size, x, draws))
 
     return run
@@ -108,7 +110,7 @@ def mix(docs: DataFrame) -> DataFrame:
     Size is the number of words. ``copies`` is how often the mix takes the document (0, 1 or 2).
     The flight runs in blocks of about 512 documents of a source, dealt by a hash; each block
     leaves at most two fractions, and these meet in ever larger blocks until one per source is left. There the
-    flight spares the ten smallest documents, and the landing tries all roundings of these and of what is left (4096 at most).
+    flight spares twelve documents of all sizes, and the landing tries all roundings of these and of what is left (16384 at most).
 
     Null or empty text: size 0, taken 0. A null source is a source of its own, ranked last. Ties and
     repeated rows are separate documents; a rerun gives equal results. An empty table gives an empty one.
