@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall.llm import cube, kd_shards, simhash
-from townhall.llm.common import documents
+from townhall.llm import cube, decontaminate, kd_shards, langid, quality, secrets_ledger, simhash, warc
+from townhall.llm.common import documents, rest
 
 
 def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +21,44 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.classify(docs, langid.fit(docs, langid.learnable()))
+    return found.select("doc_id", (rest(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_secrets_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_ledger.report(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "source", "blob")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.learnable())
+    found = quality.score(docs, model)
+    return found.select("doc_id", (rest(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return made.withColumn("record", F.col("record").cast("string"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_simhash": op2_simhash,
+    "op4_langid": op4_langid,
+    "op5_secrets_ledger": op5_secrets_ledger,
+    "op6_quality": op6_quality,
     "op7_cube_mix": op7_cube_mix,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {}
