@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall.llm import cube, decontaminate, kd_shards, langid, quality, secrets_ledger, simhash, warc
+from townhall.llm import cube, decontaminate, kd_shards, langid, media, quality, secrets_ledger, simhash, warc
 from townhall.llm.common import documents, rest
 
 
@@ -21,6 +21,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.described(media.stored(documents(spark, sf_dir)))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.classify(docs, langid.fit(docs, langid.learnable()))
@@ -54,6 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_simhash": op2_simhash,
+    "op3_webp": op3_webp,
     "op4_langid": op4_langid,
     "op5_secrets_ledger": op5_secrets_ledger,
     "op6_quality": op6_quality,
