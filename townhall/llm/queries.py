@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall.llm import cube, decontaminate, kd_shards, langid, media, quality, secrets_ledger, simhash, warc
+from townhall.llm import cube, decontaminate, kd_shards, langid, media, quality, secrets_ledger, simhash, suffix_dedup, warc
 from townhall.llm.common import documents, rest
 
 
@@ -46,6 +46,10 @@ def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(documents(spark, sf_dir)).drop("kept")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets_ledger": op5_secrets_ledger,
     "op6_quality": op6_quality,
     "op7_cube_mix": op7_cube_mix,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
 }
