@@ -15,7 +15,7 @@ BODY_COLUMNS = ["article_id", "cleaned_text", "lang"]
 SOURCE_COLUMNS = ["article_id", "city_id", "source_url", "source_uid", "source_type"]
 
 
-def resolve(items: DataFrame, articles: DataFrame, sources: DataFrame, fallback_dir: str | None = None) -> DataFrame:
+def resolve(items: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Writable items with the article they belong to.
 
     A group of items that match each other takes the stored article of its best
@@ -23,7 +23,7 @@ def resolve(items: DataFrame, articles: DataFrame, sources: DataFrame, fallback_
     """
     good = items.filter(dedupe.has_required(items))
     matches = dedupe.match_existing(good, articles, sources)
-    labels = dedupe.label_batch(good, fallback_dir)
+    labels = dedupe.label_batch(good)
     groups = labels.join(matches, "pos", "left").groupBy("label").agg(
         F.min(F.when(F.col("article_id").isNotNull(), F.struct("tier", "article_id")))["article_id"].alias("known"))
     top = articles.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
@@ -43,7 +43,7 @@ def write_batch(resolved: DataFrame, articles: DataFrame, bodies: DataFrame, sou
     )
 
 
-def ingest(items: DataFrame, articles: DataFrame, bodies: DataFrame, sources: DataFrame, fallback_dir: str | None = None,
+def ingest(items: DataFrame, articles: DataFrame, bodies: DataFrame, sources: DataFrame,
            settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``settle`` may write and re-read the resolved items, so that the three merges share one computation."""
-    return write_batch(settle(resolve(items, articles, sources, fallback_dir)), articles, bodies, sources)
+    return write_batch(settle(resolve(items, articles, sources)), articles, bodies, sources)

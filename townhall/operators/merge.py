@@ -1,8 +1,8 @@
 """Keyed writes as new state = f(old state, batch).
 
-A merge is one grouping over old and new rows together: it needs one exchange,
-combines on the map side, treats null keys as equal and cannot be skewed by a
-key that is sent many times.
+Old rows are never grouped or sorted: the batch is reduced to its last row per key and
+written, old rows whose key is in it are dropped by an anti-join that sees only
+keys, and the rest stream through. Null keys are equal.
 """
 
 from __future__ import annotations
@@ -11,25 +11,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townhall.functions.text import blank_to_null, limit_text, trim_all
+from townhall.session import settle
+
+
+def _same(left: DataFrame, keys: list[str]) -> Column:
+    """Null-safe equality of the keys with columns of the other side, called _k0, _k1, ..."""
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on &= left[k].eqNullSafe(F.col(f"_k{i}"))
+    return on
 
 
 def upsert(old: DataFrame, batch: DataFrame, keys: list[str], order: str, keep: list[str] = ()) -> DataFrame:
     """Rows of ``batch`` replace rows of ``old`` with equal keys; the last one by ``order`` wins.
 
-    Columns in ``keep`` are not written by the batch and keep their old value.
+    Columns in ``keep`` are not written by the batch and keep their old value. Keys are unique in
+    ``old``. The reduced batch is written, so its size is known: if its keys are below the broadcast
+    threshold, no old row is shuffled; else old rows are dealt out by key once.
     """
     written = [c for c in old.columns if c not in keys and c not in keep]
-    both = old.withColumn("_rank", F.lit(None).cast(batch.schema[order].dataType)).withColumn("_old", F.lit(True)).select(
-        *old.columns, "_rank", "_old")
-    add = batch.withColumn("_rank", F.col(order)).withColumn("_old", F.lit(False))
-    for name in keep:
-        add = add.withColumn(name, F.lit(None).cast(old.schema[name].dataType))
-    rows = both.unionByName(add.select(*old.columns, "_rank", "_old"))
-    # Old rows sort before every batch row.
-    rank = F.struct((~F.col("_old")).alias("is_new"), F.col("_rank"))
-    aggs = [F.max_by(F.struct(*written), rank).alias("_w")]
-    aggs += [F.max_by(F.col(k), F.when(F.col("_old"), 1).otherwise(0)).alias(k) for k in keep]
-    return rows.groupBy(*keys).agg(*aggs).select(*keys, "_w.*", *keep).select(*old.columns)
+    values = F.struct(*written) if written else F.struct(F.lit(True).alias("_none"))
+    newest = settle(batch.groupBy(*keys).agg(F.max_by(values, order).alias("_w")).select(*keys, *[F.col("_w")[c].alias(c) for c in written]))
+    sent = newest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    rest = old.join(sent, _same(old, keys), "left_anti")
+    if keep:
+        held = old.join(sent, _same(old, keys), "left_semi").select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(k).alias(f"_h{i}") for i, k in enumerate(keep)])
+        newest = newest.join(held, _same(newest, keys), "left").withColumns({k: F.col(f"_h{i}") for i, k in enumerate(keep)})
+    return rest.unionByName(newest.select(*old.columns))
 
 
 def replace_groups(old: DataFrame, batch: DataFrame, group: list[str], touched: DataFrame | None = None,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from townhall import config as C
@@ -308,8 +306,7 @@ def _(s):
 def enriched(s):
     areas = s.view("v_issue_area")
     no_keywords = s.view("v_issue_area").limit(0).select("id", "city_id", "slug", F.col("slug").alias("name"))
-    return enrich.enrich(s.wide("v_model_output"), _cities(s), s.view("v_scraper"), s.view("v_org"), areas, no_keywords, as_of(),
-                         lambda df: settle(df, tempfile.gettempdir() + "/townhall-settled"))
+    return enrich.enrich(s.wide("v_model_output"), _cities(s), s.view("v_scraper"), s.view("v_org"), areas, no_keywords, as_of(), settle)
 
 
 @query("enrich_articles", with_views(f"""SELECT {K} AS article_id, CASE WHEN {BAD} THEN 0 ELSE 7 END AS n_claims, CASE WHEN {BAD} THEN 0 ELSE 1 END AS n_keywords,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from townhall import config as C
@@ -45,7 +43,7 @@ def _matches(s):
 
 
 def _labels(s):
-    return dedupe.label_batch(_good(s), tempfile.gettempdir() + "/townhall-rounds")
+    return dedupe.label_batch(_good(s))
 
 
 @query("dedupe_cascade", with_views("SELECT pos, tier, article_id FROM matched", *KNOWN, extra=MATCH_CTE))

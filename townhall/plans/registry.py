@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townhall.plans.fixtures import table, view, view_over
-from townhall.session import prepare, spread
+from townhall.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,13 +24,18 @@ class Source:
         return view(self.spark, self.sf_dir, name)
 
     def wide(self, name: str, base: str = "orders") -> DataFrame:
-        """A derived view whose base table is spread first, for work that is heavy per row."""
-        return view_over(self.spark, self.sf_dir, name, **{base: spread(self.table(base))})
+        """A derived view for work that is heavy per row: the thin rows of its base table are dealt out evenly first."""
+        return view_over(self.spark, self.sf_dir, name, **{base: dealt(self.table(base))})
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
 
+def dealt(base: DataFrame) -> DataFrame:
+    """Rows over all shuffle partitions, whatever the splits of their file are. Views make the wide columns afterwards."""
+    return base.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def query(key: str, sql: str | None = None):
     """Register ``fn(source)`` under ``key`` with its oracle."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,35 +45,29 @@ def local_session(app: str = "townhall", cores: str = "*", shuffle: int = 8, che
     return prepare(spark)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a plain table scan that has fewer splits than the session has cores.
-
-    Large inputs already have more splits than cores and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def settle(df: DataFrame, fallback: str | None = None) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several outputs share to the checkpoint folder and read it back.
 
-    The table survives lost executors and cuts the lineage.
+    The table survives lost executors and cuts the lineage, and its size is known to the
+    plans that read it, so small ones are broadcast and hot keys of large ones are split.
     """
-    path = f"{checkpoint_dir(df.sparkSession, fallback)}/settled-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    ``fallback`` is used only where none is named and the session is a local one, as in tests.
+    A local session that names none, as in tests, gets a temporary folder of its own; a cluster is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if folder:
         return folder
-    if fallback is None or not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all machines share")
-    return fallback
+    folder = tempfile.mkdtemp(prefix="townhall-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder

@@ -52,7 +52,7 @@ BODIES = "article_id bigint, cleaned_text string, lang string"
 SOURCES = "article_id bigint, city_id bigint, source_url string, source_uid string, source_type string"
 
 
-def ingest_articles(store: Snapshots, to_items: Callable[[DataFrame], DataFrame] = lambda b: b, fallback_dir: str | None = None):
+def ingest_articles(store: Snapshots, to_items: Callable[[DataFrame], DataFrame] = lambda b: b):
     """foreachBatch handler: item stream to article, body and source snapshots."""
 
     def each(batch: DataFrame, epoch: int) -> None:
@@ -63,7 +63,7 @@ def ingest_articles(store: Snapshots, to_items: Callable[[DataFrame], DataFrame]
             store.write(df, "resolved", epoch)
             return spark.read.parquet(store.path("resolved", epoch))
 
-        new = ingest.ingest(to_items(batch), *old, fallback_dir=fallback_dir, settle=settle)
+        new = ingest.ingest(to_items(batch), *old, settle=settle)
         for table, df in zip(("articles", "bodies", "sources"), new):
             store.write(df, table, epoch)
 
