@@ -85,12 +85,12 @@ def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None
         (F.count("*") * c("size")).alias("w"), F.log2(c("size").cast("double")).alias("d0"), F.min("src").alias("d1"), F.min("lng").alias("d2"),
         F.coalesce(F.min("doc_id").cast("double"), F.lit(-1.0)).alias("d3"))
     group = W.partitionBy("h", "size")  # at most PIECES rows
-    units = units.select("h", "size", "piece", "w", F.sum("w").over(group).alias("gw"), "d0", *[F.min(f"d{i}").over(group).alias(f"d{i}") for i in (1, 2, 3)])
+    units = units.select("h", "size", "piece", "w", F.sum("w").over(group).alias("gw"), "d0", *[F.min(f"d{i}").over(group).alias(f"d{i}") for i in (1, 2, 3)], F.lit(0).alias("node"))
     units = settle(units)
     total = units.agg(F.sum("w")).first()[0] or 0
     leaves = shards if shards is not None else max(1, math.ceil(total / target_bytes))
     cap = total / leaves / 16
-    units = units.select("*", F.when(c("gw") > cap, c("piece")).otherwise(F.lit(0)).alias("part"), F.lit(0).alias("node"))
+    units = units.select("*", F.when(c("gw") > cap, c("piece")).otherwise(F.lit(0)).alias("part"))
     width: list[float] | None = None
     count, first_leaf = {0: leaves}, {0: 0}
     while any(k > 1 for k in count.values()):
