@@ -36,4 +36,4 @@ def test_every_query_without_oracle_is_a_fold():
 
 
 def test_inventory_size():
-    assert len(QUERIES) == 143
+    assert len(QUERIES) == 146

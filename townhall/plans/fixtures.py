@@ -185,7 +185,7 @@ def v_article(d):
     return f"""
     SELECT doc_id + 1 AS id, doc_id % 25 + 1 AS city_id, doc_id % (SELECT count(*) FROM @supplier) + 1 AS scraper_id,
            'Document ' || {d.str('doc_id')} AS title,
-           CASE WHEN doc_id % 3 = 0 THEN NULL ELSE substring(text, 1, 80) END AS summary,
+           CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END AS summary,
            'https://docs.example.org/' || {d.str('doc_id')} AS canonical_url,
            CASE WHEN doc_id % 4 = 0 THEN 'pdf' ELSE 'news' END AS content_type, 'published' AS status,
            {d.plus(d.ts('2024-01-01 00:00:00'), 'MINUTE', 'doc_id * 37')} AS created_at,
@@ -196,10 +196,10 @@ def v_article(d):
 @_view
 def v_body(d):
     return f"""
-    SELECT doc_id + 1 AS article_id, text AS cleaned_text, lang,
+    SELECT doc_id + 1 AS article_id, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE text END AS cleaned_text, lang,
            CASE WHEN doc_id % 5 = 0 THEN NULL ELSE {d.plus(d.ts('2024-02-01 00:00:00'), 'MINUTE', 'doc_id')} END AS extracted_at,
            CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'success' END AS extraction_status
-    FROM @documents WHERE doc_id % 10 <> 9"""
+    FROM @documents"""
 
 
 @_view

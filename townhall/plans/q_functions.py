@@ -66,10 +66,10 @@ def _(s):
 
 @query("slugify", f"""
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(replace(replace(replace(
-  translate(lower(substring(text, 1, 80)), '{text.FOLD_FROM}', '{text.FOLD_TO}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '_+', '-', 'g'), '@', '-at-'),
+  translate(lower(text), '{text.FOLD_FROM}', '{text.FOLD_TO}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '_+', '-', 'g'), '@', '-at-'),
   '[^a-z0-9\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents""")
 def _(s):
-    return s.table("documents").select("doc_id", text.slugify(F.substring("text", 1, 80)).alias("slug"))
+    return s.table("documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query("limit_text", """

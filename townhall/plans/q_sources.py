@@ -33,6 +33,12 @@ def _(s):
     return r.select("payload_id", "title", "summary", "canonical_url", "content_hash", stamp("published_at").alias("published_at"), "source_uid")
 
 
+@query("rss_counts", _sql("""SELECT payload_id, count(*) AS found, count(*) FILTER (k % 17 = 0) AS incomplete, greatest(count(*) FILTER (k % 17 <> 0) - 4, 0) AS cut,
+  least(count(*) FILTER (k % 17 <> 0), 4) AS written FROM src GROUP BY 1"""))
+def _(s):
+    return feeds.rss_counts(s.view("v_payload_rss"), max_items=4).drop("source_id", "city_id", "request_url")
+
+
 LINKS = """, links AS (SELECT *, CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN '/stories/' || k % 5 WHEN 2 THEN 'a/' || k WHEN 3 THEN '//cdn.example.org/' || k WHEN 4 THEN 'https://docs.google.com/d/' || k % 4 ELSE 'Archive.aspx?ADID=' || k % 3 END AS href,
   CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN 'https://feed.example.org/stories/' || k % 5 WHEN 2 THEN folder || 'a/' || k WHEN 3 THEN 'https://cdn.example.org/' || k WHEN 4 THEN 'https://docs.google.com/d/' || k % 4 ELSE folder || 'Archive.aspx?ADID=' || k % 3 END AS url,
   CASE WHEN k % 7 = 0 THEN 'Story' ELSE 'Story ' || k END AS title FROM src)"""
@@ -43,6 +49,12 @@ def _(s):
     return feeds.listing_links(s.view("v_listing_page"), "li a.story").select("payload_id", "url", "title")
 
 
+@query("listing_counts", _sql("""SELECT payload_id, count(*) AS found, count(*) FILTER (url IS NULL) AS invalid, count(url) - count(DISTINCT url) AS duplicate,
+  greatest(count(DISTINCT url) - 3, 0) AS cut, least(count(DISTINCT url), 3) AS written FROM links GROUP BY 1""", LINKS))
+def _(s):
+    return feeds.listing_counts(s.view("v_listing_page"), "li a.story", max_links=3).drop("source_id", "city_id", "request_url")
+
+
 H1 = "trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 
 
@@ -236,6 +248,12 @@ def _(s):
     return imports.import_organizations(_org_rows(s), _org_state(s), 1).select("id", "name", "slug", "type")
 
 
+@query("import_counts", f"""SELECT count(*) AS total, count(*) FILTER ({ORG_NEW} AND s_suppkey % 10 <> 1) AS created, count(*) FILTER ({ORG_NEW} AND s_suppkey % 10 = 1) AS updated,
+  count(*) FILTER (NOT ({ORG_NEW})) AS skipped FROM supplier""")
+def _(s):
+    return imports.import_counts(_org_rows(s), _org_state(s))
+
+
 @query("import_scrapers", """SELECT slug, type, schedule_cron, legacy_id, is_enabled FROM (SELECT 'feed-' || s_suppkey % 30 || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS slug,
   CASE s_suppkey % 4 WHEN 0 THEN 'rss' WHEN 1 THEN 'html' WHEN 2 THEN 'api' ELSE 'unknown' END AS type,
   CASE s_suppkey % 5 WHEN 0 THEN '0 * * * *' WHEN 1 THEN '0 3 * * *' WHEN 2 THEN '0 3 * * 1' WHEN 3 THEN '0 3 1 * *' END AS schedule_cron, cast(s_suppkey as varchar) AS legacy_id, s_suppkey % 2 = 1 AS is_enabled

@@ -52,17 +52,17 @@ def _(s):
     return r.select("query_id", "rank", "article_id", "title", "excerpt", "source_url", F.round("score", 6).alias("score"))
 
 
-@query("text_candidates", with_views("""SELECT query_id, token, article_id, tf, row_number() OVER (PARTITION BY query_id ORDER BY tf DESC, article_id) AS candidate_pos
-FROM rare JOIN post USING (city_id, token) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tf DESC, article_id) <= 20""", "v_query", "v_article", "v_body",
+@query("text_candidates", with_views("""SELECT query_id, article_id, n_words, tf, row_number() OVER (PARTITION BY query_id ORDER BY n_words DESC, tf DESC, article_id) AS candidate_pos,
+  count(*) OVER (PARTITION BY query_id) AS n_found
+FROM (SELECT query_id, article_id, count(*) AS n_words, sum(tf) AS tf FROM asked JOIN post USING (city_id, token) GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n_words DESC, tf DESC, article_id) <= 20""", "v_query", "v_article", "v_body",
     extra="""asked AS (SELECT DISTINCT query_id, city_id, unnest(regexp_extract_all(lower(question), '[\\p{L}\\p{N}]{3,}')) AS token FROM v_query),
  words AS (SELECT id AS article_id, city_id, unnest(regexp_extract_all(lower(concat_ws(' ', title, summary, cleaned_text)), '[\\p{L}\\p{N}]{3,}')) AS token FROM v_article LEFT JOIN v_body ON article_id = id),
- post AS (SELECT city_id, token, article_id, count(*) AS tf FROM words GROUP BY ALL),
- freq AS (SELECT city_id, token, count(*) AS df FROM post GROUP BY ALL),
- rare AS (SELECT query_id, city_id, token FROM asked JOIN freq USING (city_id, token) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY df, token) = 1)"""))
+ post AS (SELECT city_id, token, article_id, count(*) AS tf FROM words GROUP BY ALL)"""))
 def _(s):
     docs = s.view("v_article").select(F.col("id").alias("article_id"), "city_id", "title", "summary").join(
         s.view("v_body").select("article_id", "cleaned_text"), "article_id", "left")
-    return rerank.text_candidates(s.view("v_query"), docs)
+    return rerank.text_candidates(s.view("v_query"), docs, limit=20)
 
 
 # --- dashboard and listings -----------------------------------------------------

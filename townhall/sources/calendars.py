@@ -253,7 +253,7 @@ def json_libcal(payloads: DataFrame, list_path: str = "", names: dict[str, str]
 # --- HTML --------------------------------------------------------------------
 
 def html_list_events(payloads: DataFrame, item: str, title: str, date: str, time: str | None = None, location: str | None = None,
-                     link: str = "a", link_attr: str = "href", datetime: str | None = None, datetime_attr: str = "datetime", max_items: int = 50,
+                     link: str = "a", link_attr: str = "href", datetime: str | None = None, datetime_attr: str = "datetime", max_items: int = 0,
                      details: DataFrame | None = None, year: int = 1970) -> DataFrame:
     """Events of list pages. A datetime attribute beats the texts.
 
@@ -286,19 +286,21 @@ def html_list_events(payloads: DataFrame, item: str, title: str, date: str, time
 
 
 def cap_per_payload(items: DataFrame, max_items: int) -> DataFrame:
-    """First ``max_items`` items of each payload; the top-k window cuts before the exchange."""
+    """All items; or, if the caller gives a maximum, the first ones of each payload, with ``n_items``, the number before the cut."""
     from pyspark.sql import Window as W
 
     if max_items <= 0:
         return items
-    w = W.partitionBy("payload_id").orderBy("pos")
-    return items.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_items).drop("_rn")
+    c = F.col
+    all_ = items.groupBy(c("payload_id").alias("_payload")).agg(F.count("*").alias("n_items"))
+    first = items.withColumn("_rn", F.row_number().over(W.partitionBy("payload_id").orderBy("pos"))).filter(c("_rn") <= max_items).drop("_rn")
+    return first.join(all_, c("payload_id").eqNullSafe(c("_payload"))).drop("_payload")
 
 
 CLOCK_TOKEN = r"(?i)(?<![A-Za-z0-9_])\d{1,2}(?::\d{2})?\s*(?:am|pm)(?![A-Za-z0-9_])"
 
 
-def chamber_events(payloads: DataFrame, max_items: int = 50, year: int = 1970) -> DataFrame:
+def chamber_events(payloads: DataFrame, max_items: int = 0, year: int = 1970) -> DataFrame:
     """Events whose meta line holds date, time and place in one string."""
     c = F.col
     rows = payloads.select(*HEAD, "zone", F.posexplode(H.blocks(c("body"), ".event")).alias("pos", "_b")).withColumns({

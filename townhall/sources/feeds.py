@@ -1,8 +1,8 @@
 """Article feeds: RSS, listing pages, article pages and archive lists, over tables of raw payloads.
 
 Input tables hold payload_id, source_id, city_id, request_url, body. One payload is
-one row, so every job is a projection and an explode without an exchange; item caps
-are applied inside the row.
+one row, so every job is a projection and an explode without an exchange. Nothing is cut unless
+the caller gives a maximum; the ``_counts`` jobs say per payload what was left out and why.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townhall.functions import html as H
-from townhall.functions.dates import MONTH_WORD, moment_utc, let, parse_date_part
+from townhall.functions.dates import let, moment_utc, parse_date_part
 from townhall.functions.text import blank_to_null, squish, strip_tags, trim_all
 from townhall.functions.urls import absolute_url, query_params
 
@@ -36,10 +36,17 @@ def read_feed(payloads: DataFrame) -> DataFrame:
     return doc.withColumn("items", F.coalesce(rss, atom)).drop("_f", "body")
 
 
-def rss_articles(payloads: DataFrame, max_items: int = 50, year: int = 1970) -> DataFrame:
+def _complete(items: Column) -> Column:
+    return F.filter(items, lambda i: (F.length(i["title"]) > 0) & (F.length(i["link"]) > 0))
+
+
+def _first(items: Column, most: int) -> Column:
+    return F.slice(items, 1, most) if most > 0 else items
+
+
+def rss_articles(payloads: DataFrame, max_items: int = 0, year: int = 1970) -> DataFrame:
     """Article items of RSS feeds; title and link are needed, content beats description."""
-    valid = F.filter("items", lambda i: (F.length(i["title"]) > 0) & (F.length(i["link"]) > 0))
-    rows = read_feed(payloads).select(*HEAD, F.posexplode(F.slice(valid, 1, max_items)).alias("pos", "i"))
+    rows = read_feed(payloads).select(*HEAD, F.posexplode(_first(_complete(F.col("items")), max_items)).alias("pos", "i"))
     raw = F.coalesce(blank_to_null(F.col("i.encoded")), F.nullif("i.description", F.lit("")))
     staged = rows.withColumn("raw_html", raw).withColumn("cleaned_text", F.nullif(squish(strip_tags(F.col("raw_html"))), F.lit("")))
     return staged.select(
@@ -49,23 +56,46 @@ def rss_articles(payloads: DataFrame, max_items: int = 50, year: int = 1970) ->
         F.lit("rss").alias("source_type"), F.col("i.link").alias("source_url"), F.col("i.guid").alias("source_uid"))
 
 
+def rss_counts(payloads: DataFrame, max_items: int = 0) -> DataFrame:
+    """Items of each payload: found, incomplete (no title or link), cut (beyond the caller's maximum), written."""
+    n = F.size(F.coalesce("items", F.array()))
+    whole = F.size(_complete(F.coalesce("items", F.array())))
+    written = F.least(whole, F.lit(max_items)) if max_items > 0 else whole
+    return read_feed(payloads).select(*HEAD, n.alias("found"), (n - whole).alias("incomplete"), (whole - written).alias("cut"), written.alias("written"))
+
+
 def first_distinct(items: Column, key, cap: int) -> Column:
-    """First element per key, in order, at most ``cap``."""
-    keys = F.transform(items, key)
-    first = F.filter(F.transform(items, lambda x, i: F.struct(x.alias("x"), (F.array_position(keys, key(x)) == i + 1).alias("first"))), lambda s: s["first"])
-    kept = F.transform(first, lambda s: s["x"])
-    return F.slice(kept, 1, cap) if cap > 0 else kept
+    """First element per key, in order, at most ``cap`` if that is positive. Sorts by key once: no element is compared with all others."""
 
+    def firsts(ordered: Column) -> Column:
+        return F.filter(ordered, lambda s, i: (i == 0) | (F.get(ordered, F.greatest(i - 1, F.lit(0)))["key"] != s["key"]))
 
-def listing_links(payloads: DataFrame, selector: str = "a", link_attr: str = "href", max_links: int = 50) -> DataFrame:
-    """Distinct absolute links of listing pages with their text."""
-    links = F.transform(H.select(F.col("body"), selector), lambda a: F.struct(
+    ordered = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("x"))))
+    kept = F.transform(F.array_sort(F.transform(let(ordered, firsts), lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
+    return _first(kept, cap)
+
+
+def _anchors(selector: str, link_attr: str) -> Column:
+    return F.transform(H.select(F.col("body"), selector), lambda a: F.struct(
         absolute_url(H.attribute(a, link_attr), F.col("request_url"), strict=True).alias("url"), H.node_text(a).alias("title")))
-    usable = F.filter(links, lambda x: x["url"].isNotNull())
+
+
+def listing_links(payloads: DataFrame, selector: str = "a", link_attr: str = "href", max_links: int = 0) -> DataFrame:
+    """Distinct absolute links of listing pages with their text."""
+    usable = F.filter(_anchors(selector, link_attr), lambda x: x["url"].isNotNull())
     return payloads.withColumn("_l", usable).select(*HEAD, F.posexplode(first_distinct(F.col("_l"), lambda x: x["url"], max_links)).alias("pos", "l")).select(
         *HEAD, "pos", "l.url", "l.title")
 
 
+def listing_counts(payloads: DataFrame, selector: str = "a", link_attr: str = "href", max_links: int = 0) -> DataFrame:
+    """Links of each page: found, invalid (no usable address), duplicate, cut (beyond the caller's maximum), written."""
+    c = F.col
+    rows = payloads.withColumn("_u", F.transform(_anchors(selector, link_attr), lambda x: x["url"]))
+    rows = rows.select(*HEAD, F.size("_u").alias("found"), F.size(F.array_compact("_u")).alias("_ok"), F.size(F.array_distinct(F.array_compact("_u"))).alias("_d"))
+    written = F.least(c("_d"), F.lit(max_links)) if max_links > 0 else c("_d")
+    return rows.select(*HEAD, "found", (c("found") - c("_ok")).alias("invalid"), (c("_ok") - c("_d")).alias("duplicate"), (c("_d") - written).alias("cut"), written.alias("written"))
+
+
 CLOSERS = {"p": "\n\n", "li": "\n", "h1": "\n\n", "h2": "\n\n", "h3": "\n\n", "tr": "\n"}
 
 
@@ -138,27 +168,31 @@ def article_pages(pages: DataFrame, best_effort: bool = False, year: int = 1970)
     return rows.drop("_text", "html")
 
 
-def archive_outcomes(payloads: DataFrame, href_contains: str, max_links: int = 50) -> DataFrame:
+def archive_outcomes(payloads: DataFrame, href_contains: str, max_links: int = 0) -> DataFrame:
     """Every anchor of an archive list page with its outcome: item, or why it was skipped."""
+    c = F.col
 
-    def anchor(a: Column) -> Column:
+    def anchor(a: Column, i: Column) -> Column:
         href = H.attribute(a, "href")
-        return F.struct(href.alias("href"), absolute_url(href, F.col("request_url"), strict=True).alias("url"), H.node_text(a).alias("title"))
-
-    rows = payloads.withColumn("_a", F.transform(H.select(F.col("body"), "a"), anchor))
-    good = F.filter("_a", lambda a: a["href"].contains(href_contains) & a["url"].isNotNull() & (F.length(a["title"]) >= 3))
-    rows = rows.withColumn("_urls", F.transform(good, lambda a: a["url"])).withColumn("_distinct", F.array_distinct("_urls"))
-    rows = rows.select(*HEAD, "_urls", "_distinct", F.posexplode("_a").alias("pos", "a"), F.col("_a").alias("_all"))
-    c = F.col
-    ok_before = F.size(F.filter(F.slice("_all", 1, c("pos") + 1), lambda a: a["href"].contains(href_contains) & a["url"].isNotNull() & (F.length(a["title"]) >= 3)))
-    rank = F.array_position("_distinct", c("a.url"))
-    is_first = F.array_position("_urls", c("a.url")) == ok_before
-    over = (rank > max_links) if max_links > 0 else F.lit(False)
-    outcome = (
-        F.when(~c("a.href").contains(href_contains), "unmatched_href").when(c("a.url").isNull(), "invalid_href")
-        .when(F.length("a.title") < 3, "empty_title").when(over, "max_links").when(is_first, "item").otherwise("duplicate")
-    )
-    return rows.select(*HEAD, "pos", c("a.url").alias("url"), c("a.title").alias("title"), outcome.alias("outcome"))
+        url, title = absolute_url(href, c("request_url"), strict=True), H.node_text(a)
+        why = F.when(~href.contains(href_contains), "unmatched_href").when(url.isNull(), "invalid_href").when(F.length(title) < 3, "empty_title")
+        return F.struct(why.alias("why"), url.alias("url"), i.alias("i"), title.alias("title"))
+
+    def marked(ordered: Column) -> Column:
+        # Good anchors stand by address, then place: the first of an address differs from the one before it.
+        return F.transform(ordered, lambda a, i: F.struct(
+            a["i"].alias("i"), a["url"].alias("url"), a["title"].alias("title"), a["why"].alias("why"),
+            (a["why"].isNull() & ((i == 0) | F.get(ordered, F.greatest(i - 1, F.lit(0)))["why"].isNotNull()
+             | (F.get(ordered, F.greatest(i - 1, F.lit(0)))["url"] != a["url"]))).alias("first")))
+
+    rows = payloads.withColumn("_a", F.array_sort(F.transform(H.select(c("body"), "a"), anchor)))
+    rows = rows.withColumn("_m", F.array_sort(let(c("_a"), marked)))
+    kept = _first(F.transform(F.filter("_m", lambda a: a["first"]), lambda a: a["url"]), max_links)
+    head = [*HEAD, *([kept.alias("_kept")] if max_links > 0 else [])]
+    rows = rows.select(*head, F.explode("_m").alias("a"))
+    over = ~F.array_contains("_kept", c("a.url")) if max_links > 0 else F.lit(False)
+    outcome = F.when(c("a.why").isNotNull(), c("a.why")).when(over, "max_links").when(c("a.first"), "item").otherwise("duplicate")
+    return rows.select(*HEAD, c("a.i").alias("pos"), c("a.url").alias("url"), c("a.title").alias("title"), outcome.alias("outcome"))
 
 
 def archive_pdf_links(outcomes: DataFrame) -> DataFrame:
@@ -167,7 +201,7 @@ def archive_pdf_links(outcomes: DataFrame) -> DataFrame:
         "content_type": F.lit("pdf"), "source_uid": F.nullif(query_params(F.col("url"))["ADID"], F.lit(""))})
 
 
-def documenters_links(payloads: DataFrame, site: str, selector: str = "a", host: str = "docs.google.com", max_links: int = 50, year: int = 1970) -> DataFrame:
+def documenters_links(payloads: DataFrame, site: str, selector: str = "a", host: str = "docs.google.com", max_links: int = 0, year: int = 1970) -> DataFrame:
     """Distinct links to the document host with the meeting date of the page."""
     def resolve(a: Column) -> Column:
         href = H.attribute(a, "href")
@@ -175,7 +209,7 @@ def documenters_links(payloads: DataFrame, site: str, selector: str = "a", host:
                 .when(href.rlike("^https?://"), href).otherwise(F.concat(F.lit(site + "/"), F.regexp_replace(href, "^/+", ""))))
 
     links = F.array_distinct(F.filter(F.transform(H.select(F.col("body"), selector), resolve), lambda u: u.contains(host)))
-    return payloads.select(*HEAD, meeting_date(F.col("body"), year).alias("meeting_date"), F.posexplode(F.slice(links, 1, max_links)).alias("pos", "url"))
+    return payloads.select(*HEAD, meeting_date(F.col("body"), year).alias("meeting_date"), F.posexplode(_first(links, max_links)).alias("pos", "url"))
 
 
 MEETING = r"Date:\s*([A-Z][a-z]+\s+\d{1,2},\s+\d{4})"

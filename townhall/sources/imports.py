@@ -9,6 +9,7 @@ from townhall.config import CRON_BY_FREQUENCY, IMPORT_TYPES
 from townhall.functions.text import blank_to_null, clean_newlines, meaningful_length, slugify
 from townhall.operators.merge import upsert
 from townhall.operators.ranking import rank_in_buckets
+from townhall.session import settle
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -31,23 +32,55 @@ def suffixed(base: Column, n: Column) -> Column:
     return F.when(n == 1, base).otherwise(F.concat(base, F.lit("-"), n.cast("string")))
 
 
+def _numbers(slugs: DataFrame) -> DataFrame:
+    """base, n: what each slug takes: itself as number 1, and number n of its base if it ends in -n."""
+    c = F.col
+    tail = F.regexp_extract("slug", r"^(.+)-([1-9]\d{0,8})$", 2)
+    both = slugs.select(F.explode(F.array_compact(F.array(
+        F.struct(c("slug").alias("base"), F.lit(1).alias("n")),
+        F.when((tail != "") & (tail != "1"), F.struct(F.regexp_extract("slug", r"^(.+)-([1-9]\d{0,8})$", 1).alias("base"), tail.cast("int").alias("n")))))).alias("x"))
+    return both.select("x.base", "x.n").distinct()
+
+
+def free_numbers(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """base, k, n: the k-th number of a base that nobody has taken, for as many k as ``wanted`` (base, rows) says.
+
+    Candidates are as many numbers as there are rows and taken numbers, less the taken ones.
+    """
+    c = F.col
+    own = taken.join(wanted.select("base"), "base", "left_semi")
+    most = wanted.join(own.groupBy("base").agg(F.count("*").alias("held")), "base", "left").select(
+        "base", F.explode(F.sequence(F.lit(1), (c("rows") + F.coalesce("held", F.lit(0))).cast("int"))).alias("n"))
+    return rank_in_buckets(most.join(own, ["base", "n"], "left_anti"), ["base"], F.floor(c("n") / 4096), [c("n")], "k")
+
+
+def _name_rows(rows: DataFrame, stored: DataFrame, order: str) -> DataFrame:
+    """``rows`` with a slug: the first numbers of their base that are free, in ``order``.
+
+    ``stored`` has the slugs others own. A base of this import that itself looks like a numbered slug keeps its place free.
+    """
+    c = F.col
+    bases = rows.groupBy("base").agg(F.count("*").alias("rows"))
+    numbered = _numbers(bases.select(c("base").alias("slug"))).filter("n > 1")
+    free = settle(free_numbers(settle(bases), _numbers(stored).unionByName(numbered).distinct()))
+    ranked = rank_in_buckets(rows, ["base"], F.floor(c(order) / 4096), [c(order)], "k")
+    return ranked.join(free, ["base", "k"]).withColumn("slug", suffixed(c("base"), c("n"))).drop("k", "n")
+
+
 def import_organizations(rows: DataFrame, existing: DataFrame, city_id: int) -> DataFrame:
     """New organisation snapshot after a CSV import, keyed by id; the last row of an id wins.
 
-    Names that give the same slug are numbered per city in file order after the
-    stored ones. Rows need id, name, type, pos (file order).
+    A slug is the first free one of base, base-2, base-3, ... in file order; the slugs of
+    organisations outside the import are taken. Rows need id, name, type, pos (file order).
     """
     c = F.col
     valid = rows.withColumns({"name": blank_to_null(c("name")), "id": c("id").try_cast("bigint")}).filter("id IS NOT NULL AND id <> 0 AND name IS NOT NULL")
     valid = valid.withColumns({
         "city_id": F.lit(city_id).cast("bigint"), "base": F.coalesce(F.nullif(slugify(c("name")), F.lit("")), F.lit("organization")),
         "type": organization_type(c("type"))})
-    last = valid.groupBy("id").agg(F.max_by(F.struct("city_id", "name", "base", "type", "pos"), "pos").alias("v")).select("id", "v.*")
-    others = existing.join(last.select("id"), "id", "left_anti").filter(c("city_id") == city_id).groupBy(
-        F.regexp_replace("slug", r"-\d+$", "").alias("base")).agg(F.count("*").alias("taken"))
-    ranked = rank_in_buckets(last, ["base"], F.floor(c("pos") / 4096), [c("pos")], "n").join(others, "base", "left")
-    batch = ranked.withColumn("slug", suffixed(c("base"), c("n") + F.coalesce("taken", F.lit(0))))
-    return upsert(existing, batch, ["id"], "pos")
+    last = settle(valid.groupBy("id").agg(F.max_by(F.struct("city_id", "name", "base", "type", "pos"), "pos").alias("v")).select("id", "v.*"))
+    others = existing.join(last.select("id"), "id", "left_anti").filter(c("city_id") == city_id).select("slug")
+    return upsert(existing, _name_rows(last, others, "pos"), ["id"], "pos")
 
 
 def import_counts(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -63,7 +96,8 @@ def import_counts(rows: DataFrame, existing: DataFrame) -> DataFrame:
 def import_scrapers(rows: DataFrame, existing: DataFrame, city_id: int) -> DataFrame:
     """New source snapshot after a CSV import, keyed by (city, slug).
 
-    A slug is kept for the legacy id that owns it and suffixed for others, in file order.
+    The slug a legacy id owns under its base is kept; other rows take the first free one in file order, so no
+    stored source of another id is written over.
     ``rows``: id, name, scrape_type, scrape_url, is_active, frequency, pos.
     ``existing``: city_id, slug, name, type, source_url, is_enabled, schedule_cron, legacy_id.
     """
@@ -73,13 +107,18 @@ def import_scrapers(rows: DataFrame, existing: DataFrame, city_id: int) -> DataF
         "type": F.coalesce(F.try_element_at(_literal_map(IMPORT_TYPES), c("scrape_type")), F.lit("unknown")), "source_url": c("scrape_url"),
         "is_enabled": F.lower(F.trim("is_active")).isin("1", "true", "on", "yes"),
         "schedule_cron": F.try_element_at(_literal_map(CRON_BY_FREQUENCY), c("frequency")), "legacy_id": c("id")})
-    owners = existing.filter(c("city_id") == city_id).select(c("slug").alias("base"), c("legacy_id").alias("owner"))
-    # Rows of the owner keep the slug; among the others the first takes it when nobody owns it.
-    rest = valid.join(owners, "base", "left").withColumn("_owned", F.coalesce(c("owner") == c("legacy_id"), F.lit(False)))
-    groups = rest.filter("NOT _owned").groupBy("base", "legacy_id").agg(F.min("pos").alias("first"), F.max(c("owner").isNotNull()).alias("busy"))
-    ranked = rank_in_buckets(groups, ["base"], F.floor(c("first") / 4096), [c("first")], "n")
-    names = ranked.select("base", "legacy_id", suffixed(c("base"), c("n") + F.when(c("busy"), 1).otherwise(0)).alias("new_slug"))
-    named = rest.join(names, ["base", "legacy_id"], "left").withColumn("slug", F.when(c("_owned"), c("base")).otherwise(c("new_slug")))
+    stored = existing.filter(c("city_id") == city_id)
+    # Any slug of the base that the legacy id already has: the base itself first, then the lowest number.
+    held = stored.select("legacy_id", "slug").withColumn("_tail", F.regexp_extract("slug", r"-([1-9]\d{0,8})$", 1))
+    held = held.select("legacy_id", F.explode(F.array_compact(F.array(
+        F.struct(c("slug").alias("base"), F.lit(1).alias("n"), c("slug").alias("own")),
+        F.when(c("_tail") != "", F.struct(F.regexp_replace("slug", r"-[1-9]\d{0,8}$", "").alias("base"), c("_tail").cast("int").alias("n"), c("slug").alias("own")))))).alias("h"))
+    owned = settle(held.groupBy("legacy_id", "h.base").agg(F.min(F.struct("h.n", "h.own"))["own"].alias("own")))
+    known = settle(valid.join(owned, ["legacy_id", "base"], "left"))
+    groups = settle(known.filter("own IS NULL").groupBy("base", "legacy_id").agg(F.min("pos").alias("first")))
+    names = _name_rows(groups, stored.select("slug"), "first").select("base", c("legacy_id").alias("_legacy"), c("slug").alias("_new"), c("base").alias("_base"))
+    same = (known["base"] == c("_base")) & known["legacy_id"].eqNullSafe(c("_legacy"))
+    named = known.join(names.drop("base"), same, "left").withColumn("slug", F.coalesce("own", "_new"))
     return upsert(existing, named, ["city_id", "slug"], "pos")
 
 
