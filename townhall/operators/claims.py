@@ -10,6 +10,7 @@ from townhall.functions.scalars import clamp01, json_hash, normalize_evidence, n
 from townhall.functions.text import blank_to_null, contains_any, slugify, squish, trim_all
 from townhall.operators.ranking import number_rows
 from townhall.operators.skew import lookup_join
+from townhall.session import settle
 
 _EV = "array<struct<quote:string,start:string,end:string>>"
 _ENTITY = "confidence:string,evidence:" + _EV
@@ -34,7 +35,7 @@ def read_payload(outputs: DataFrame) -> DataFrame:
 
 
 def _clean(items: Column, row, keep) -> Column:
-    """Normalise every element and keep the valid ones; a missing list is empty."""
+    """Normalise every element and keep the valid ones; a missing list stays null."""
     return F.filter(F.transform(items, row), keep)
 
 
@@ -146,8 +147,46 @@ _LIFTED = (
 )
 
 
-def usable_claims(claims: DataFrame, min_confidence: float = C.PROJECTION_MIN_CONFIDENCE) -> DataFrame:
-    return claims.filter(F.col("status").isin("approved", "proposed") & (F.col("confidence") >= min_confidence))
+def usable_claims(claims: DataFrame, min_confidence: float = C.PROJECTION_MIN_CONFIDENCE, source: str | None = None) -> DataFrame:
+    """Approved and proposed claims of enough confidence, of one source if it is named. A projection is made per source."""
+    rows = claims.filter(F.col("status").isin("approved", "proposed") & (F.col("confidence") >= min_confidence))
+    return rows if source is None else rows.filter(F.col("source") == source)
+
+
+def listed_areas(claims: DataFrame, areas: DataFrame) -> DataFrame:
+    """Claims without issue areas that are not in their city's list; a city without a list takes all.
+
+    ``areas``: city_id, slug. Two lookups by unique keys; no list is carried into a row.
+    """
+    c = F.col
+    known = settle(areas.filter("slug IS NOT NULL").select(c("city_id").alias("_city"), F.lower("slug").alias("_slug")).distinct())
+    cities = known.select(c("_city").alias("_listed")).distinct()
+    area = F.when(c("claim_type") == C.CLAIM_ISSUE_AREA, c("value")["slug"])
+    rows = claims.withColumn("_area", area).join(cities, c("city_id") == c("_listed"), "left").join(
+        known, (c("city_id") == c("_city")) & (c("_area") == c("_slug")), "left")
+    return rows.filter(c("_area").isNull() | c("_listed").isNull() | c("_slug").isNotNull()).select(*claims.columns)
+
+
+OPPORTUNITY = "type string, date string, time string, location string, url string, description string, evidence array<struct<quote:string>>"
+
+
+def claimed_opportunities(claims: DataFrame) -> DataFrame:
+    """Opportunities written in approved or proposed opportunity claims: a list under ``opportunities``, or one object.
+
+    The claim's own evidence stands in where the opportunity has none.
+    """
+    c = F.col
+    rows = claims.filter((c("claim_type") == C.CLAIM_OPPORTUNITY) & c("status").isin("approved", "proposed"))
+    kind = f"struct<{OPPORTUNITY.replace(' string', ':string').replace(' array', ':array')}>"
+    many = F.from_json("value_json", f"opportunities array<{kind}>")["opportunities"]
+    # An empty object says nothing.
+    one = F.when(F.coalesce(F.size(F.from_json("value_json", "map<string,string>")), F.lit(0)) > 0, F.array(F.from_json("value_json", OPPORTUNITY)))
+    rows = rows.select("article_id", "city_id", c("pos").alias("_claim"), c("evidence").alias("_evidence"), F.posexplode(F.coalesce(many, one)).alias("_i", "o"))
+    first = lambda e: F.try_element_at(e, F.lit(1))["quote"]
+    return rows.select(
+        "article_id", "city_id", (F.coalesce(F.right("_claim", F.lit(6)).try_cast("int"), F.lit(0)) * 1000 + c("_i")).alias("pos"), F.lower(blank_to_null(c("o.type"))).alias("type"),
+        *[blank_to_null(c(f"o.{f}")).alias(f) for f in ("date", "time", "location", "url")], F.coalesce(blank_to_null(c("o.description")), F.lit("")).alias("description"),
+        first(c("o.evidence")).alias("evidence_quote"), F.when(c("o.evidence").isNull(), first(c("_evidence"))).alias("claim_quote"))
 
 
 # Projections read: pos, article_id, city_id, claim_type, value_text, confidence.

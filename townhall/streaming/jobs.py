@@ -93,33 +93,37 @@ def drop_resends(items: DataFrame, event_time: str, delay: str, keys: list[str])
 
 
 def score_and_enrich(store: Snapshots, to_outputs: Callable[[DataFrame], DataFrame], cities: DataFrame, scrapers: DataFrame, organizations: DataFrame,
-                     areas: DataFrame, as_of: Column, to_articles: Callable[[DataFrame], DataFrame] | None = None):
+                     areas: DataFrame, as_of: Column, to_articles: Callable[[DataFrame], DataFrame] | None = None,
+                     to_bodies: Callable[[DataFrame], DataFrame] | None = None):
     """foreachBatch handler: changed articles to scores, claims and the read tables.
 
-    Rows of articles in the batch replace their older rows.
+    Rows of articles in the batch replace their older rows. Of the claims only proposed ones of the same source
+    are replaced; approved, rejected and foreign ones stay. The micro-batch is parsed once, all eight tables of a pass are written.
     """
     keywords_schema = "id bigint, city_id bigint, slug string, name string"
 
     def each(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        outputs = to_outputs(batch)
         keywords = store.read(spark, "keyword_names", epoch - 1, keywords_schema)
 
         def settle(df: DataFrame) -> DataFrame:
             store.write(df, "normalized", epoch)
             return spark.read.schema(df.schema).parquet(store.path("normalized", epoch))
 
-        result = enrichment.enrich(outputs, cities, scrapers, organizations, areas, keywords, as_of, settle)
+        held = None if epoch == 0 else spark.read.parquet(store.path("claims", epoch - 1))
+        bodies = None if to_bodies is None else to_bodies(batch)
+        result = enrichment.enrich(to_outputs(batch), cities, scrapers, organizations, areas, keywords, as_of, settle, bodies, held)
         touched = spark.read.parquet(store.path("normalized", epoch)).select("article_id").distinct()
-        tables = {"claims": result.claims, "entities": result.entities, "civic_actions": result.civic_actions, "timeline_items": result.timeline_items}
+        names = ("claims", "analyses", "keywords", "entities", "issue_areas", "civic_actions", "timeline_items", "explainers")
+        tables = {name: getattr(result, name) for name in names}
         if to_articles is not None:
             tables["scores"] = heuristics.score_articles(to_articles(batch), scrapers, organizations, as_of).select(
                 "article_id", "status", "civic_relevance")
         for name, df in tables.items():
+            # The claims of an article that stay are among those of the pass.
             old = df.limit(0) if epoch == 0 else spark.read.parquet(store.path(name, epoch - 1))
             store.write(merge.replace_groups(old, df, ["article_id"], touched), name, epoch)
-        usable = enrichment.claims.usable_claims(result.claims)
-        store.write(enrichment.claims.keyword_dictionary(usable, keywords), "keyword_names", epoch)
+        store.write(result.dictionary, "keyword_names", epoch)
 
     return each
 
@@ -148,21 +152,25 @@ def keep_stats(store: Snapshots):
 # --- run lifecycle: the one job with custom state -------------------------------------
 
 LIFECYCLE = "source_id bigint, run_id bigint, status string, started_at timestamp, last_seen timestamp, beats bigint"
-LIFECYCLE_STATE = "started_at double, last_seen double, beats bigint"
+LIFECYCLE_STATE = "started_at double, last_seen double, beats bigint, closed boolean"
 TERMINAL = ("success", "failed")
 
 
 def _lifecycle(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One run of one source: remembers first and last heartbeat, ends on a final status or when it goes quiet."""
+    """One run of one source: remembers first and last heartbeat, ends on a final status or when it goes quiet.
+
+    An ended run stays marked as closed until an hour after its last heartbeat, so that late ones do not open it again.
+    """
 
     def out(status, first, last, beats):
         return pd.DataFrame({"source_id": [key[0]], "run_id": [key[1]], "status": [status], "started_at": [pd.Timestamp(first, unit="us")],
                              "last_seen": [pd.Timestamp(last, unit="us")], "beats": [int(beats)]})
 
-    first, last, beats = state.get if state.exists else (None, None, 0)
+    first, last, beats, closed = state.get if state.exists else (None, None, 0, False)
     if state.hasTimedOut:
         state.remove()
-        yield out("stuck", first, last, beats)
+        if not closed:
+            yield out("stuck", first, last, beats)
         return
     final = None
     for pdf in batches:
@@ -176,13 +184,10 @@ def _lifecycle(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Itera
             row = ended.sort_values(["ts", "status"]).iloc[0]
             if final is None or (row["ts"], row["status"]) < final:
                 final = (row["ts"], row["status"])
-    if final is not None:
-        if state.exists:
-            state.remove()
+    if final is not None and not closed:
         yield out(final[1], first, last, beats)
-    else:
-        state.update((first, last, beats))
-        state.setTimeoutTimestamp(int(max(last / 1000 + QUIET_MS, state.getCurrentWatermarkMs() + 1)))
+    state.update((first, last, beats, closed or final is not None))
+    state.setTimeoutTimestamp(int(max(last / 1000 + QUIET_MS, state.getCurrentWatermarkMs() + 1)))
 
 
 QUIET_MS = 60 * 60 * 1000
