@@ -11,6 +11,7 @@ from townhall.functions.text import blank_to_null, contains_any, snake
 from townhall.functions.urls import calendar_link, usable_url
 from townhall.operators.ranking import rank_in_buckets
 from townhall.operators.skew import lookup_join
+from townhall.session import settle
 
 DECISION_MAKER_WORDS = ["city", "commission", "board", "council"]
 
@@ -98,9 +99,10 @@ def table_opportunities(rows: DataFrame) -> DataFrame:
 def opportunity_list(payload: DataFrame, stored: DataFrame) -> DataFrame:
     """Payload opportunities, or the stored ones of articles without any, by start else end, none last."""
     c = F.col
+    payload = settle(payload)
     rest = stored.join(payload.select("article_id").distinct(), "article_id", "left_anti")
     rows = payload.unionByName(rest).withColumn("_sort", F.coalesce("starts_at", "ends_at"))
-    bucket = F.struct(F.coalesce(F.unix_date(c("_sort").cast("date")), F.lit(9_999_999)).alias("d"), F.when(c("_sort").isNull(), c("pos")).otherwise(0).alias("p"))
+    bucket = F.struct(F.coalesce(F.unix_date(c("_sort").cast("date")), F.lit(9_999_999)).alias("d"), F.when(c("_sort").isNull(), F.floor(c("pos") / 1024)).otherwise(0).cast("bigint").alias("p"))
     return rank_in_buckets(rows, ["article_id"], bucket, [c("_sort").asc_nulls_last(), c("pos")], "position").drop("_sort")
 
 

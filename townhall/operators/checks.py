@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from townhall.functions.text import trim_all
 from townhall.operators.skew import lookup_join
+from townhall.session import settle
 
 URL_SHAPE = r"^https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#]\S*)?$"
 
@@ -42,7 +43,8 @@ def duplicate_keys(rows: DataFrame, columns: list[str], rule: str, key: str = "i
     Keys are counted with map-side combine and only repeated ones are looked up.
     """
     repeated = rows.groupBy(*columns).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return lookup_join(rows.select(key, *columns), repeated, columns, spread=key).select(key, F.lit(rule).alias("rule"))
+    # Written first: a hot key of two plain inputs can be split at run time.
+    return lookup_join(rows.select(key, *columns), settle(repeated), columns, spread=key).select(key, F.lit(rule).alias("rule"))
 
 
 def missing_reference(rows: DataFrame, column: str, target: DataFrame, rule: str, key: str = "id") -> DataFrame:

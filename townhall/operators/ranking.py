@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from townhall.session import settle
+
 ID_BUCKETS = 4096  # three hex digits of the key hash
 
 
@@ -13,17 +15,20 @@ def rank_in_buckets(df: DataFrame, keys: list[str], bucket: Column, order: list[
     """Row number per ``keys`` in ``order``, computed bucket by bucket.
 
     ``bucket`` must be a leading part of the order (smaller bucket, earlier row).
-    Rows are counted per (keys, bucket) with map-side combine, the counts are
-    accumulated, and only rows of one bucket meet in one task.
+    The rows are written once and read twice, so what they come from runs once. They are counted
+    per (keys, bucket) with map-side combine, the counts are accumulated, and only rows of
+    one bucket meet in one task.
     """
-    staged = df.withColumn("_bucket", bucket)
+    staged = settle(df.withColumn("_bucket", bucket))
     counts = staged.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     ranked = staged.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order)))
-    join_on = [ranked[k].eqNullSafe(offsets[k]) for k in [*keys, "_bucket"]]
-    cols = [ranked[c] for c in df.columns]
-    return ranked.join(offsets, join_on).select(*cols, (ranked["_rn"] + offsets["_offset"]).alias(out))
+    offsets = offsets.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate([*keys, "_bucket"])], "_offset")
+    same = F.lit(True)
+    for i, k in enumerate([*keys, "_bucket"]):
+        same &= F.col(k).eqNullSafe(F.col(f"_o{i}"))
+    return ranked.join(offsets, same).select(*df.columns, (F.col("_rn") + F.col("_offset")).alias(out))
 
 
 def number_rows(df: DataFrame, key: Column, out: str, start: Column | int = 0) -> DataFrame:
