@@ -98,7 +98,7 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
             text = f"{text} {copy.upper() if d % 3 == 0 else copy} {prose(40)}"
             want.add((d, i))
         docs.append((d, text))
-    docs += [(200, "a Zzyzx b"), (201, "x qwertz, uiop y"), (202, "zzy zx qwertz"), (203, None), (204, ""), (205, items[15][1]), (None, items[3][1])]
+    docs += [(200, "a Zzyzx b"), (201, "x qwertz, uiop y"), (202, "zzy zx qwertz"), (203, None), (204, ""), (205, items[17][1]), (None, items[3][1])]
     want |= {(200, 50), (201, 51), (205, 55), (None, 3)}
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     rows = decontaminate.leaks(d, b).collect()
@@ -107,8 +107,8 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     for r in rows:
         part = decontaminate.words((text[r["doc_id"]]).encode())[r["first_word"] : r["end_word"]]
         assert 0.6 <= r["score"] <= 1 and part
-        if r["score"] == 1:
-            assert part == decontaminate.words(dict(items[:17])[r["item_id"]].encode())
+        if r["score"] == 1 and r["item_id"] != 55:  # a long item is aligned in parts
+            assert part == decontaminate.words(dict(items[:18])[r["item_id"]].encode())
     clean = decontaminate.keep_clean(d, b)
     assert Counter(r["doc_id"] for r in clean.collect()) == Counter({d for d, _ in docs} - {d for d, _ in want})
 
@@ -141,7 +141,7 @@ def test_leaks_of_odd_rows(spark, odd, empty):
 def test_webp_reads_a_foreign_file():
     data = base64.b64decode("UklGRh4AAABXRUJQVlA4TBEAAAAvAAAAAAfQ//73v/+BiOh/AAA=")
     assert webp.decode(data).tolist() == [[[255, 255, 255, 255]]]
-    for broken in (data[:20], b"RIFF", data[:21] + b"\0" + data[22:]):
+    for broken in (data[:20], b"RIFF", data[:20] + b"\0" + data[21:]):
         with pytest.raises((ValueError, IndexError)):
             webp.decode(broken)
 

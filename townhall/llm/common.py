@@ -1,36 +1,14 @@
-"""Helpers the operators of this folder share: settled tables, row keys and ordered numbering."""
+"""Helpers the operators of this folder share: row keys, ordered numbering and the documents table."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-WORD = r"[^\x20\x09-\x0D]+"
-
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only in a local session that names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder all machines share")
-    folder = tempfile.mkdtemp(prefix="townhall-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from townhall.session import settle
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: the lineage ends here and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def partitions(spark: SparkSession) -> int:
@@ -52,6 +30,11 @@ def row_key(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """doc_id, row_key and row, a struct of all columns: whatever these are called, they clash with nothing."""
+    return df.select("doc_id", row_key(df).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores put before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}
@@ -79,14 +62,3 @@ def number_in_order(df: DataFrame, group: list[str], order: list[Column], out: s
         same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
     # One row per partition and group: at most as many as both together.
     return local.join(F.broadcast(starts), same).select(*df.columns, (F.col("_rn") - 1 + F.col("_start")).alias(out))
-
-
-def arrow_type(spark_type: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(spark_type)
-
-
-def texts_of(column: pa.Array) -> list[bytes | None]:
-    """The values of a binary Arrow column."""
-    return column.to_pylist()

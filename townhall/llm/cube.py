@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townhall.llm.common import WORD, number_in_order, row_key, settle
+from townhall.llm.common import WORD, number_in_order, row_key, settle, whole_rows
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5  # of all sizes
@@ -147,12 +147,11 @@ def resample(docs: DataFrame) -> DataFrame:
 
     Repeated rows are one row that is taken as often as all of them together.
     """
-    key, n, rn = "_mix_key", "_mix_n", "_mix_rn"
-    plan = mix(docs).groupBy("doc_id", "row_key").agg(F.sum("copies").alias(n), F.count("*").alias(rn)).filter(F.col(n) > 0)
-    plan = settle(plan.select(F.col("doc_id").alias("_mix_id"), F.col("row_key").alias(key), n, rn))
-    rows = docs.withColumn("_mix_row", row_key(docs))
-    joined = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_row") == F.col(key)))
-    once, repeated = joined.filter(F.col(rn) == 1), joined.filter(F.col(rn) > 1)
-    if not plan.filter(F.col(rn) > 1).isEmpty():
-        once = once.unionByName(repeated.dropDuplicates(["_mix_id", key]))
-    return once.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*[F.col(f"`{x}`") for x in docs.columns])
+    c = F.col
+    plan = mix(docs).groupBy("doc_id", "row_key").agg(F.sum("copies").alias("n"), F.count("*").alias("same")).filter(c("n") > 0)
+    plan = settle(plan.select(c("doc_id").alias("mix_id"), c("row_key").alias("mix_key"), c("n").cast("int").alias("n"), "same"))
+    joined = whole_rows(docs).join(plan, c("doc_id").eqNullSafe(c("mix_id")) & (c("row_key") == c("mix_key")))
+    taken = joined.filter(c("same") == 1)
+    if not plan.filter(c("same") > 1).isEmpty():
+        taken = taken.unionByName(joined.filter(c("same") > 1).dropDuplicates(["doc_id", "row_key"]))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), c("n"))).alias("copy")).select("row.*")

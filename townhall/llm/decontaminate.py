@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from townhall.llm.common import free_name
+
 SEED_WORDS = 3
 RARE = 0.005  # a seed in more documents than this share is used only if it is among its item's rarer half
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -222,5 +224,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ok = pa.array([not find(shared.value, t) for t in b.column(b.num_columns - 1).to_pylist()], pa.bool_())
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(ok)
 
-        docs = docs.withColumn("_leak_text", F.col("text").cast("binary")).mapInArrow(run, docs.schema)
+        docs = docs.select("*", F.col("text").cast("binary").alias(free_name(docs, "leak_text"))).mapInArrow(run, docs.schema)
     return docs

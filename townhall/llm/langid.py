@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from townhall.llm.common import rest
+from townhall.llm.common import free_name, rest
 
 WINDOW = 256  # bytes; windows overlap by the widest filter less one
 WIDTHS = (2, 3, 4)
@@ -24,7 +24,8 @@ FILTERS = 12  # per width
 EMBED = 8
 SAMPLE = 400  # labelled documents per language at most
 PER_DOC = 8  # training windows of one document at most
-EPOCHS = 4
+EPOCHS = 4  # passes over the training windows at least
+STEPS = 800  # batches at least
 BATCH = 64
 CHUNK = 128  # windows scored at a time
 UNKNOWN = "und"
@@ -86,7 +87,7 @@ def train(x: np.ndarray, n: np.ndarray, y: np.ndarray, names: list[str], seed: i
         [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(names))).astype(np.float32), np.zeros(len(names), np.float32))
     params = [net.embed, *net.filters, *net.bias, net.out, net.out_bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for epoch in range(EPOCHS):
+    for epoch in range(max(EPOCHS, -(-STEPS // -(-len(x) // BATCH)))):
         order = rng.permutation(len(x))
         for k in range(0, len(x), BATCH):
             pick = order[k : k + BATCH]
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, learn: Column) -> Network | None:
     usable = docs.filter(learn & c("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     first = usable.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(c("rn") <= SAMPLE)
     # At most SAMPLE rows per language.
-    chosen = docs.join(F.broadcast(first.select(c("doc_id").alias("_pick"), c("lang").alias("_pick_lang"))), c("doc_id").eqNullSafe(c("_pick")) & (c("lang") == c("_pick_lang")), "left_semi")
+    chosen = docs.select("doc_id", "lang", "text").join(F.broadcast(first.select(c("doc_id").alias("_pick"), c("lang").alias("_pick_lang"))), c("doc_id").eqNullSafe(c("_pick")) & (c("lang") == c("_pick_lang")), "left_semi")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,7 +213,8 @@ def classify(docs: DataFrame, net: Network | None) -> DataFrame:
 
 def keep_known(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
     """The documents whose language is known with a score of ``least`` or more, with all their columns."""
-    flagged = docs.withColumn("_lang_text", F.when(has_letter(F.col("text")), F.col("text").cast("binary")))
+    # The bytes to look at come last, under a name no column has.
+    flagged = docs.select("*", F.when(has_letter(F.col("text")), F.col("text").cast("binary")).alias(free_name(docs, "lang_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

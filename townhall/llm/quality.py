@@ -10,7 +10,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from townhall.llm.common import rest
@@ -24,8 +23,8 @@ _SHAPE = bytes(
 _RUN = re.compile(rb"x+|X{2,}|9+")
 
 
-def _mix(a: np.ndarray, b: np.ndarray | int, seed: int) -> np.ndarray:
-    h = (a * np.uint64(0x9E3779B97F4A7C15) ^ b * np.uint64(0xC2B2AE3D27D4EB4F)) + np.uint64(seed)
+def _mix(a: np.ndarray, seed: int) -> np.ndarray:
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(seed * 0xC2B2AE3D27D4EB4F % 2**64)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h >> np.uint64(64 - BITS)
@@ -42,7 +41,7 @@ def features(text: bytes | None) -> np.ndarray:
         one = np.fromiter(map(crc, tokens), np.uint64, len(tokens))
         two = one[:-1] * np.uint64(0x100000001B3) + one[1:]
         three = two[:-1] * np.uint64(0x100000001B3) + one[2:]
-        found += [_mix(g, np.uint64(k), seed + k) for k, g in enumerate((one, two, three))]
+        found += [_mix(g, seed + k) for k, g in enumerate((one, two, three))]
     return np.concatenate(found).astype(np.int64)
 
 
@@ -90,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
     known = labels.filter(learn & c("quality").isNotNull() & c("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     first = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE).select(c("doc_id").alias("_pick"), "h", "y")
     # At most SAMPLE rows.
-    chosen = docs.join(F.broadcast(first), c("doc_id") == c("_pick")).select("h", "y", c("text").cast("binary").alias("text"))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(first), c("doc_id") == c("_pick")).select("h", "y", c("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townhall.llm.common import partitions, row_key, settle
+from townhall.llm.common import partitions, row_key, settle, whole_rows
 from townhall.operators.graph import components
 
 SHINGLE = 3
@@ -187,13 +187,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # Groups without any id are told apart by their fingerprint.
     best = found.groupBy("component_id", F.when(c("component_id").isNull(), c("fp")).alias("_alone")).agg(
         F.min(F.struct(c("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("k"))
-    keep = settle(best.select(c("k.doc_id").alias("_keep_id"), c("k.row_key").alias("_keep_key")).distinct())
-    rows = docs.withColumn("_keep_row", row_key(docs))
-    kept = rows.join(keep, c("doc_id").eqNullSafe(c("_keep_id")) & (c("_keep_row") == c("_keep_key")), "left_semi")
-    again = found.groupBy("doc_id", "row_key").count().filter(c("count") > 1)
+    keep = settle(best.select(c("k.doc_id").alias("keep_id"), c("k.row_key").alias("keep_key")).distinct())
+    rows = whole_rows(docs)
+    kept = rows.join(keep, c("doc_id").eqNullSafe(c("keep_id")) & (c("row_key") == c("keep_key")), "left_semi")
+    again = settle(found.groupBy("doc_id", "row_key").count().filter(c("count") > 1).select(c("doc_id").alias("again_id"), c("row_key").alias("again_key")))
     if not again.isEmpty():
         # Rows repeated in full: one of them stays.
-        again = settle(again.select(c("doc_id").alias("_again_id"), c("row_key").alias("_again_key")))
-        same = c("doc_id").eqNullSafe(c("_again_id")) & (c("_keep_row") == c("_again_key"))
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_keep_row"]))
-    return kept.select(*[c(f"`{x}`") for x in docs.columns])
+        same = c("doc_id").eqNullSafe(c("again_id")) & (c("row_key") == c("again_key"))
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "row_key"]))
+    return kept.select("row.*")
