@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 from townhall.plans import load_all
@@ -15,7 +14,7 @@ from townhall.session import local_session
 HEADLINE = [
     "score_articles", "dedupe_cascade", "event_dedupe", "upsert_events", "claim_filter", "project_keywords", "project_issue_areas", "project_entities",
     "explode_claims", "civic_actions", "timeline_items", "rerank", "select_evidence", "latest_run", "due_scrapers", "calendar_day", "rss_articles",
-    "ics_events", "evidence_pack", "page_body_text",
+    "ics_events", "evidence_pack", "page_body_text", "dedupe_within_batch", "text_candidates", "search_documents", "stream_upsert_events",
 ]
 
 
@@ -24,7 +23,7 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     load_all()
-    spark = local_session("bench", cores, int(cores), tempfile.mkdtemp(prefix="townhall-bench-"))
+    spark = local_session("bench", cores, int(cores))
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds = {}
     for name in names:
