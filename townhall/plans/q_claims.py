@@ -313,7 +313,7 @@ def enriched(s):
 N_CLAIMS = f"CASE WHEN a.id IS NULL AND {K} % 25 + 1 IN (SELECT city_id FROM v_issue_area WHERE slug IS NOT NULL) THEN 6 ELSE 7 END"
 
 
-@query("enrich_articles", with_views(f"""SELECT {K} AS article_id, CASE WHEN {BAD} THEN 0 ELSE {N_CLAIMS} END AS n_claims, CASE WHEN {BAD} THEN 0 ELSE 1 END AS n_keywords,
+@query("enrich_pipeline", with_views(f"""SELECT {K} AS article_id, CASE WHEN {BAD} THEN 0 ELSE {N_CLAIMS} END AS n_claims, CASE WHEN {BAD} THEN 0 ELSE 1 END AS n_keywords,
   CASE WHEN {BAD} THEN 0 ELSE 3 + CASE WHEN {K} % 10 >= 6 THEN 1 ELSE 0 END END AS n_entities,
   CASE WHEN {BAD} OR a.id IS NULL THEN 0 ELSE 1 END AS n_issue_areas, CASE WHEN {BAD} OR {K} % 3 = 2 THEN 0 ELSE 1 END AS n_civic_actions,
   CASE WHEN {BAD} OR {K} % 6 = 0 THEN 0 ELSE 2 END AS n_timeline_items, 1 AS n_explainers

@@ -40,18 +40,38 @@ def _(s):
     return r.select("query_id", "article_id", "candidate_pos", F.round("score", 6).alias("score"), "rank")
 
 
-@query("select_evidence", with_views("""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_pos) AS rank, article_id, a.title,
+@query("rerank_nested", with_views("SELECT query_id, article_id, candidate_pos, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_pos) AS rank FROM scored",
+    *RV, extra=_scored_sql(0.6, 0.25, 0.15)))
+def _(s):
+    r = rerank.rerank(s.view("v_candidate"), s.view("v_question"), s.view("v_analysis"))
+    return r.select("query_id", "article_id", "candidate_pos", F.round("score", 6).alias("score"), "rank")
+
+
+def _evidence_sql(agency="agency", time="timeliness"):
+    return with_views("""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_pos) AS rank, article_id, a.title,
   CASE WHEN length(x) > 280 THEN regexp_replace(substring(x, 1, 280), '\\s+$', '') || '...' ELSE x END AS excerpt, u.source_url, round(score, 6) AS score
 FROM scored JOIN (SELECT v.*, trim(regexp_replace(coalesce(nullif(summary, ''), nullif(cleaned_text, ''), ''), '^\\s+|\\s+$', '', 'g')) AS x FROM v_article v LEFT JOIN v_body b ON b.article_id = v.id) a ON a.id = scored.article_id
 LEFT JOIN (SELECT article_id, arg_min(source_url, (created_at, id)) AS source_url FROM v_article_source GROUP BY 1) u USING (article_id)
 WHERE question_city = a.city_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_pos) <= 5""",
-    *RV, "v_article", "v_body", "v_article_source", extra=_scored_sql(0.55, 0.25, 0.2)))
-def _(s):
+    *RV, "v_article", "v_body", "v_article_source", extra=_scored_sql(0.55, 0.25, 0.2, agency, time))
+
+
+def _evidence(s, flat):
     urls = s.view("v_article_source").groupBy("article_id").agg(F.min_by("source_url", F.struct("created_at", "id")).alias("source_url"))
-    r = rerank.select_evidence(s.view("v_candidate"), s.view("v_question"), s.view("v_article"), s.view("v_body"), urls, s.view("v_analysis"))
+    r = rerank.select_evidence(s.view("v_candidate"), s.view("v_question"), s.view("v_article"), s.view("v_body"), urls, s.view("v_analysis"), legacy_flat_only=flat)
     return r.select("query_id", "rank", "article_id", "title", "excerpt", "source_url", F.round("score", 6).alias("score"))
 
 
+@query("select_evidence", _evidence_sql())
+def _(s):
+    return _evidence(s, False)
+
+
+@query("select_evidence_flat", _evidence_sql("CASE WHEN status = 'llm_done' THEN 0 ELSE agency END", "CASE WHEN status = 'llm_done' THEN 0 ELSE timeliness END"))
+def _(s):
+    return _evidence(s, True)
+
+
 @query("text_candidates", with_views("""SELECT query_id, article_id, n_words, tf, row_number() OVER (PARTITION BY query_id ORDER BY n_words DESC, tf DESC, article_id) AS candidate_pos,
   count(*) OVER (PARTITION BY query_id) AS n_found
 FROM (SELECT query_id, article_id, count(*) AS n_words, sum(tf) AS tf FROM asked JOIN post USING (city_id, token) GROUP BY 1, 2)
@@ -135,6 +155,14 @@ def _(s):
     return listings.calendar_days(s.view("v_event")).select("id", "city_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "section", "time_label", "position")
 
 
+@query("calendar_one_day", with_views("""SELECT id, CASE WHEN all_day THEN 'all_day' ELSE 'timed' END AS section, CASE WHEN NOT all_day THEN strftime(starts_at, '%H:%M') END AS time_label,
+  row_number() OVER (PARTITION BY all_day ORDER BY starts_at, id) AS position FROM v_event WHERE city_id = 3 AND cast(starts_at as date) = (SELECT min(cast(starts_at as date)) FROM v_event WHERE city_id = 3)""", "v_event"))
+def _(s):
+    events = s.view("v_event")
+    day = events.filter("city_id = 3").agg(F.date_format(F.min("starts_at"), "yyyy-MM-dd")).first()[0]
+    return listings.calendar_day(events, 3, day).select("id", "section", "time_label", "position")
+
+
 @query("event_trace", with_views("""SELECT e.id, e.title, i.item_id, i.event_source_id, i.raw_payload FROM v_event e LEFT JOIN (
   SELECT event_id, min(id) AS item_id, arg_min(event_source_id, id) AS event_source_id, arg_min(raw_payload, id) AS raw_payload FROM v_event_source_item GROUP BY 1) i ON i.event_id = e.id""", "v_event", "v_event_source_item"))
 def _(s):

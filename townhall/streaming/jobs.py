@@ -37,6 +37,12 @@ class Snapshots:
     def write(self, df: DataFrame, table: str, epoch: int) -> None:
         df.write.mode("overwrite").parquet(self.path(table, epoch))
 
+    def prune(self, spark: SparkSession, tables: tuple[str, ...], epoch: int) -> None:
+        """Remove what no batch can read again: a repeated batch N reads N - 1, so N - 2 may go."""
+        for table in tables:
+            old = spark._jvm.org.apache.hadoop.fs.Path(self.path(table, epoch - 2))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
 
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], output_mode: str = "append") -> int:
     """Process everything that is there, batch by batch; returns the last epoch."""
@@ -66,6 +72,7 @@ def ingest_articles(store: Snapshots, to_items: Callable[[DataFrame], DataFrame]
         new = ingest.ingest(to_items(batch), *old, settle=settle)
         for table, df in zip(("articles", "bodies", "sources"), new):
             store.write(df, table, epoch)
+        store.prune(spark, ("articles", "bodies", "sources", "resolved"), epoch)
 
     return each
 
@@ -83,6 +90,7 @@ def upsert_events(store: Snapshots, cities: DataFrame, to_items: Callable[[DataF
         events, trace = store.read(spark, "events", epoch - 1, EVENTS), store.read(spark, "items", epoch - 1, EVENT_ITEMS)
         store.write(merge.upsert(events, items, ["source_hash"], "pos"), "events", epoch)
         store.write(merge.upsert(trace, items, ["source_hash", "event_source_id", "source_url", "external_id"], "pos"), "items", epoch)
+        store.prune(spark, ("events", "items"), epoch)
 
     return each
 
@@ -124,6 +132,7 @@ def score_and_enrich(store: Snapshots, to_outputs: Callable[[DataFrame], DataFra
             old = df.limit(0) if epoch == 0 else spark.read.parquet(store.path(name, epoch - 1))
             store.write(merge.replace_groups(old, df, ["article_id"], touched), name, epoch)
         store.write(result.dictionary, "keyword_names", epoch)
+        store.prune(spark, (*tables, "keyword_names", "normalized"), epoch)
 
     return each
 
@@ -145,6 +154,7 @@ def keep_stats(store: Snapshots):
         rows = batch.select("scraper_id", F.col("w.start").alias("window_start"), "items_written", "runs", F.lit(epoch).alias("pos"))
         old = store.read(batch.sparkSession, "stats", epoch - 1, STATS)
         store.write(merge.upsert(old, rows, ["scraper_id", "window_start"], "pos"), "stats", epoch)
+        store.prune(batch.sparkSession, ("stats",), epoch)
 
     return each
 
