@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from townhall.llm import cube, decontaminate, kd_shards, langid, media, quality, secrets_ledger, simhash, suffix_dedup, warc
 from townhall.llm.common import documents, rest
+from townhall.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {}
