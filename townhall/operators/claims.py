@@ -104,10 +104,12 @@ def merge_confidence(civic: Column, enrichment: Column) -> Column:
     return F.when(civic > 0, civic).otherwise(enrichment)
 
 
-def enrichment_gate(bodies: DataFrame, min_chars: int = C.MIN_TEXT_CHARS, max_chars: int = C.MAX_TEXT_CHARS) -> DataFrame:
-    """Bodies long enough to be enriched, cut to the longest text a model is given."""
+def enrichment_gate(bodies: DataFrame, min_chars: int = C.MIN_TEXT_CHARS, max_chars: int | None = None) -> DataFrame:
+    """Bodies long enough to be enriched; if the caller gives the longest text a model takes, cut to it. ``cut_chars`` says how much went."""
     text = trim_all(F.col("cleaned_text"))
-    return bodies.withColumn("text", text).filter(F.length("text") >= min_chars).withColumn("text", F.substring("text", 1, max_chars))
+    return bodies.withColumn("text", text).filter(F.length("text") >= min_chars).withColumns({
+        "text": F.col("text") if max_chars is None else F.substring("text", 1, max_chars),
+        "cut_chars": F.lit(0) if max_chars is None else F.greatest(F.length("text") - max_chars, F.lit(0))})
 
 
 def explode_claims(entities: DataFrame, source: str = "llm") -> DataFrame:

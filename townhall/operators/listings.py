@@ -39,7 +39,7 @@ def events_written_recent(runs: DataFrame, as_of: Column) -> DataFrame:
     return runs.filter(at >= _since(as_of, 7)).agg(total(1).alias("last_24h"), total(7).alias("last_7d"))
 
 
-def recent_runs(runs: DataFrame, scrapers: DataFrame, cities: DataFrame, organizations: DataFrame, n: int = 5) -> DataFrame:
+def recent_runs(runs: DataFrame, scrapers: DataFrame, cities: DataFrame, organizations: DataFrame, n: int) -> DataFrame:
     """The latest finished runs with names; names join after the top n are known."""
     top = runs.orderBy(F.col("finished_at").desc_nulls_first(), F.col("started_at").desc_nulls_first(), "id").limit(n)
     s = scrapers.select(F.col("id").alias("scraper_id"), F.col("name").alias("scraper_name"), "city_id", "organization_id")
@@ -115,7 +115,7 @@ def scraper_order(field: str | None, direction: str = "asc") -> list[Column]:
     return [c.desc_nulls_first() if direction == "desc" else c.asc_nulls_last(), F.col("id")]
 
 
-def source_run_history(runs: DataFrame, key: str = "scraper_id", n: int = 10) -> DataFrame:
+def source_run_history(runs: DataFrame, n: int, key: str = "scraper_id") -> DataFrame:
     """The last n runs per source, newest first; at most n rows per source and task are shuffled."""
     w = W.partitionBy(key).orderBy(F.col("created_at").desc(), F.col("id").desc())
     return runs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

@@ -67,19 +67,21 @@ def article_rows(items: DataFrame) -> DataFrame:
     })
 
 
-def search_documents(articles: DataFrame, bodies: DataFrame, scrapers: DataFrame, sources: DataFrame, body_chars: int) -> DataFrame:
-    """Flat search rows: cut body, organisation of the scraper, oldest source URL, ISO dates."""
+def search_documents(articles: DataFrame, bodies: DataFrame, scrapers: DataFrame, sources: DataFrame, body_chars: int | None = None) -> DataFrame:
+    """Flat search rows: body (cut where the caller says so; ``body_cut`` counts what went), organisation of the scraper, oldest source URL, ISO dates."""
     first_source = sources.groupBy("article_id").agg(
         F.min_by("source_url", F.struct("created_at", "id")).alias("source_url"))
     iso = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-    body = bodies.select("article_id", F.substring("cleaned_text", 1, body_chars).alias("body"), "extraction_status")
+    text = F.col("cleaned_text")
+    body = bodies.select("article_id", (text if body_chars is None else F.substring(text, 1, body_chars)).alias("body"),
+                         (F.lit(0) if body_chars is None else F.greatest(F.length(text) - body_chars, F.lit(0))).alias("body_cut"), "extraction_status")
     org = scrapers.select(F.col("id").alias("scraper_id"), "organization_id")
     # Ids meet first; the text joins last.
     return (
         articles.join(org, "scraper_id", "left")
         .join(first_source.withColumnRenamed("article_id", "id"), "id", "left")
         .join(body.withColumnRenamed("article_id", "id"), "id", "left")
-        .select("id", "city_id", "title", "summary", F.coalesce("body", F.lit("")).alias("body"),
+        .select("id", "city_id", "title", "summary", F.coalesce("body", F.lit("")).alias("body"), F.coalesce("body_cut", F.lit(0)).alias("body_cut"),
                 iso("published_at").alias("published_at"), iso("created_at").alias("created_at"),
                 "organization_id", "scraper_id", "extraction_status", "source_url")
     )

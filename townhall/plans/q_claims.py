@@ -87,11 +87,12 @@ def _(s):
 
 
 @query("enrichment_gate", """SELECT doc_id + 1 AS article_id, least(18000, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS text_chars,
-  sha1(substring(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 18000)) AS text_hash
+  sha1(substring(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 18000)) AS text_hash,
+  greatest(0, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) - 18000) AS cut_chars
 FROM documents WHERE doc_id % 10 <> 9 AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 800""")
 def _(s):
-    return claims.enrichment_gate(s.view("v_body")).select(
-        "article_id", F.length("text").alias("text_chars"), F.sha1(F.col("text").cast("binary")).alias("text_hash"))
+    return claims.enrichment_gate(s.view("v_body"), max_chars=C.MAX_TEXT_CHARS).select(
+        "article_id", "cut_chars", F.length("text").alias("text_chars"), F.sha1(F.col("text").cast("binary")).alias("text_hash"))
 
 
 EXPLODED = f"""SELECT {K} AS article_id, 0 AS pos, 'article_mentions_person' AS claim_type, '{{"name":"Jane ' || o_custkey || '"}}' AS value_json, 0.9 AS confidence, 1 AS n_evidence FROM orders WHERE NOT ({BAD})

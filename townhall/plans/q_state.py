@@ -219,7 +219,7 @@ def _(s):
     return merge.upsert(old, batch, ["article_id"], "pos", keep=["heuristic_score"])
 
 
-@query("search_documents", with_views("""SELECT a.id, a.city_id, a.title, a.summary, coalesce(substring(b.cleaned_text, 1, 20000), '') AS body,
+@query("search_documents", with_views("""SELECT a.id, a.city_id, a.title, a.summary, coalesce(substring(b.cleaned_text, 1, 20000), '') AS body, greatest(0, coalesce(length(b.cleaned_text), 0) - 20000) AS body_cut,
   strftime(a.published_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS published_at, strftime(a.created_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS created_at,
   s.organization_id, a.scraper_id, b.extraction_status, x.source_url
 FROM v_article a LEFT JOIN v_body b ON b.article_id = a.id LEFT JOIN v_scraper s ON s.id = a.scraper_id

@@ -48,7 +48,7 @@ def _(s):
 
 
 def _evidence_sql(agency="agency", time="timeliness"):
-    return with_views("""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_pos) AS rank, article_id, a.title,
+    return with_views("""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_pos) AS rank, article_id, a.title, count(*) OVER (PARTITION BY query_id) AS n_local,
   CASE WHEN length(x) > 280 THEN regexp_replace(substring(x, 1, 280), '\\s+$', '') || '...' ELSE x END AS excerpt, u.source_url, round(score, 6) AS score
 FROM scored JOIN (SELECT v.*, trim(regexp_replace(coalesce(nullif(summary, ''), nullif(cleaned_text, ''), ''), '^\\s+|\\s+$', '', 'g')) AS x FROM v_article v LEFT JOIN v_body b ON b.article_id = v.id) a ON a.id = scored.article_id
 LEFT JOIN (SELECT article_id, arg_min(source_url, (created_at, id)) AS source_url FROM v_article_source GROUP BY 1) u USING (article_id)
@@ -58,8 +58,8 @@ WHERE question_city = a.city_id QUALIFY row_number() OVER (PARTITION BY query_id
 
 def _evidence(s, flat):
     urls = s.view("v_article_source").groupBy("article_id").agg(F.min_by("source_url", F.struct("created_at", "id")).alias("source_url"))
-    r = rerank.select_evidence(s.view("v_candidate"), s.view("v_question"), s.view("v_article"), s.view("v_body"), urls, s.view("v_analysis"), legacy_flat_only=flat)
-    return r.select("query_id", "rank", "article_id", "title", "excerpt", "source_url", F.round("score", 6).alias("score"))
+    r = rerank.select_evidence(s.view("v_candidate"), s.view("v_question"), s.view("v_article"), s.view("v_body"), urls, s.view("v_analysis"), limit=5, legacy_flat_only=flat)
+    return r.select("query_id", "n_local", "rank", "article_id", "title", "excerpt", "source_url", F.round("score", 6).alias("score"))
 
 
 @query("select_evidence", _evidence_sql())
@@ -106,7 +106,7 @@ def _(s):
 @query("recent_runs", with_views("""SELECT r.id, r.status, s.name AS scraper_name, c.name AS city_name, o.name AS organization_name FROM (SELECT * FROM v_run ORDER BY finished_at DESC NULLS FIRST, started_at DESC NULLS FIRST, id LIMIT 5) r
  LEFT JOIN v_scraper s ON s.id = r.scraper_id LEFT JOIN v_city c ON c.id = s.city_id LEFT JOIN v_org o ON o.id = s.organization_id""", "v_run", "v_scraper", "v_city", "v_org"))
 def _(s):
-    return listings.recent_runs(s.view("v_run"), s.view("v_scraper"), s.view("v_city"), s.view("v_org")).select("id", "status", "scraper_name", "city_name", "organization_name")
+    return listings.recent_runs(s.view("v_run"), s.view("v_scraper"), s.view("v_city"), s.view("v_org"), n=5).select("id", "status", "scraper_name", "city_name", "organization_name")
 
 
 @query("events_listing", with_views(f"""SELECT id, title, city_id, {stamp_sql('starts_at')} AS starts_at FROM v_event e WHERE starts_at >= timestamp'1997-01-01' AND starts_at < timestamp'1999-01-01' AND event_url <> ''
@@ -140,7 +140,7 @@ def _(s):
 
 @query("source_run_history", with_views(f"SELECT scraper_id, id, rank, {stamp_sql('created_at')} AS created_at FROM (SELECT *, row_number() OVER (PARTITION BY scraper_id ORDER BY created_at DESC, id DESC) AS rank FROM v_run) WHERE rank <= 10", "v_run"))
 def _(s):
-    return listings.source_run_history(s.view("v_run")).select("scraper_id", "id", "rank", stamp("created_at").alias("created_at"))
+    return listings.source_run_history(s.view("v_run"), n=10).select("scraper_id", "id", "rank", stamp("created_at").alias("created_at"))
 
 
 @query("latest_run", with_views(f"""SELECT scraper_id, arg_max(id, (created_at, id)) AS latest_run_id, arg_max(status, (created_at, id)) AS latest_status,
