@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 from odd_rows import ROWS
 
-from townhall.llm import simhash, suffix_dedup
+from townhall.llm import near_copies, simhash, suffix_dedup
 
 
 def plain_print(text):
@@ -95,6 +95,52 @@ def test_groups_and_stage_of_odd_rows(odd, empty):
     assert simhash.groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def plain_similar(texts, least=0.8):
+    """Least id reachable over pairs whose five-word shingles have a Jaccard similarity of at least 0.8."""
+    sets = {}
+    for d, t in texts:
+        w = (t or "").encode().lower().split()
+        sets[d] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    group = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and group[a] != group[b] and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {d: new if g == old else g for d, g in group.items()}
+    return group
+
+
+def test_edited_copies_link_by_their_shingles(spark, monkeypatch):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    line = "this line of nine words is in many documents"
+    texts = []
+    for _ in range(6):
+        base = [rng.choice(vocab) for _ in range(rng.randint(20, 160))] + line.split()
+        texts.append(" ".join(base))
+        for k in range(6):
+            # Up to a twentieth of the words changed: on both sides of the threshold.
+            copy = list(base)
+            for _ in range(rng.randint(0, 1 + len(copy) // 20)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            texts.append(" ".join(copy[: len(copy) - k % 3]))
+    texts += [None, "", "one", "One", "two words", "two words", "a b c d e", line, line]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_similar(rows)
+    monkeypatch.setattr(near_copies, "DENSE", 1)  # a round of stars comes first
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs).collect()} == want
+    found = {r["doc_id"]: r["component_id"] for r in simhash.groups(docs).collect()}
+    assert len(set(want.values())) < len(set(found.values()))  # what three bits leave
+
+
+def test_near_copies_of_odd_rows(odd, empty):
+    kept = simhash.keep_one(odd, near_copies.groups(odd))
+    assert kept.columns == odd.columns and near_copies.groups(odd).count() == len(ROWS)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [1, 4, 5, 6, 9, 10, 11, 12, 13]
+    assert near_copies.groups(empty).count() == 0
+
+
 def plain_removed(texts):
     """Removed bytes by a dictionary of all 400-byte strings."""
     seen = Counter(t[p : p + 400] for t in texts for p in range(len(t) - 399))

@@ -180,10 +180,13 @@ def groups(docs: DataFrame) -> DataFrame:
     return prints.join(of, "fp").select("doc_id", "row_key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each group kept: the smallest doc_id, of its rows the one with the smallest key."""
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The documents with one row of each group kept: the smallest doc_id, of its rows the one with the smallest key.
+
+    ``found`` holds the groups, if they are not those of ``groups``, in its columns.
+    """
     c = F.col
-    found = groups(docs)
+    found = groups(docs) if found is None else found
     # Groups without any id are told apart by their fingerprint.
     best = found.groupBy("component_id", F.when(c("component_id").isNull(), c("fp")).alias("_alone")).agg(
         F.min(F.struct(c("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("k"))
