@@ -120,6 +120,30 @@ def test_a_passage_in_most_documents_is_still_found(spark):
     assert sorted(r["doc_id"] for r in rows) == list(range(200))
 
 
+def test_an_edited_copy_that_is_repeated_is_still_found(spark):
+    rng = random.Random(2)
+    prose = lambda n: ["".join(rng.choice("bcdfgaeiou") for _ in range(5)) for _ in range(n)]
+    item = prose(40)
+    copy = [w if k % 4 != 3 else "other" for k, w in enumerate(item)]
+    docs = [(d, " ".join(prose(20) + (copy if d % 100 == 7 else []) + prose(20))) for d in range(2000)]
+    rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(7, 2000, 100))
+
+
+def test_only_passages_that_cannot_reach_the_threshold_are_skipped():
+    rng = np.random.default_rng(7)
+    reached = 0
+    for _ in range(400):
+        item, passage = rng.integers(1, 7, rng.integers(3, 12)), rng.integers(0, 7, rng.integers(1, 90))
+        seeds = decontaminate.Seeds({}, [], np.zeros(0), masks=[{int(w): sum(1 << int(k) for k in np.flatnonzero(item == w)) for w in set(item.tolist())}])
+        best = decontaminate.align(item, passage)[0]
+        if best >= 1.2 * len(item):
+            reached += 1
+            spots = decontaminate.promising(seeds.masks[0], len(item), passage)
+            assert max(decontaminate.align(item, passage[a:b])[0] for a, b in spots) == best
+    assert reached > 50
+
+
 def test_benchmark_in_several_passes(spark, monkeypatch):
     items = [(i, f"item number{i} has its own{i} words{i} and more{i}") for i in range(9)]
     d, b = spark.createDataFrame([(i, f"x {t} y") for i, t in items], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every n-gram of three words of a test item is a seed. A first pass counts in how many documents
-each seed occurs; the second looks for the rare ones in every document and aligns the item
-with the passage around them, so edited and paraphrased copies are found as well.
+Every n-gram of three words of a test item is a seed, however common. The item is aligned with
+the passage around its seeds, so edited and paraphrased copies are found as well. Passages whose longest
+common subsequence with the item is below the threshold cannot reach it and are not aligned.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from townhall.llm.common import free_name
 
 SEED_WORDS = 3
-RARE = 0.005  # a seed in more documents than this share is used only if it is among its item's rarer half
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6  # of the score of a full match
 SEGMENT = 400  # words of a long item that are aligned at a time
@@ -40,6 +39,7 @@ class Seeds:
     codes: np.ndarray  # sorted distinct seeds
     places: list[list[tuple[int, int]]] = field(default_factory=list)  # per seed: (segment, offset)
     short: dict[int, list[int]] = field(default_factory=dict)  # segments below SEED_WORDS words, by first word
+    masks: list[dict[int, int]] = field(default_factory=list)  # per segment: the offsets of each word as bits
 
     def encode(self, text: bytes | None) -> np.ndarray:
         w = words(text)
@@ -85,6 +85,10 @@ def prepare(items: list[tuple[int, bytes]]) -> Seeds:
     seeds = Seeds(vocab, segments, np.zeros(0, np.int64))
     where: dict[int, list[tuple[int, int]]] = {}
     for s, (_, ids) in enumerate(segments):
+        mask: dict[int, int] = {}
+        for at, w in enumerate(ids.tolist()):
+            mask[w] = mask.get(w, 0) | 1 << at
+        seeds.masks.append(mask)
         if len(ids) < SEED_WORDS:
             seeds.short.setdefault(int(ids[0]), []).append(s)
         for at, code in zip(*seeds.grams(ids), strict=True):
@@ -94,20 +98,36 @@ def prepare(items: list[tuple[int, bytes]]) -> Seeds:
     return seeds
 
 
-def rare_only(seeds: Seeds, counts: dict[int, int], documents: int) -> Seeds:
-    """Each segment keeps its rare seeds, and the rarer half of its seeds in any case: none is without."""
-    own: dict[int, list[tuple[int, int, int]]] = {}
-    for k, places in enumerate(seeds.places):
-        for s, at in places:
-            own.setdefault(s, []).append((counts.get(k, 0), k, at))
-    keep: dict[int, list[tuple[int, int]]] = {}
-    for s, found in own.items():
-        found.sort()
-        for rank, (n, k, at) in enumerate(found):
-            if n <= RARE * documents or rank < (len(found) + 1) // 2:
-                keep.setdefault(k, []).append((s, at))
-    kept = sorted(keep)
-    return Seeds(seeds.vocab, seeds.items, seeds.codes[kept] if kept else seeds.codes[:0], [keep[k] for k in kept], seeds.short)
+def _can_reach(masks: dict[int, int], m: int, words: list[int]) -> bool:
+    """Whether the longest common subsequence lets a score reach the threshold: it has all matches of any alignment."""
+    full = (1 << m) - 1
+    v = full
+    for w in words:
+        u = v & masks.get(w, 0)
+        if u:
+            v = ((v + u) | (v - u)) & full
+    return m - v.bit_count() >= THRESHOLD * m - 1e-9
+
+
+def promising(masks: dict[int, int], m: int, passage: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of a passage outside of which no alignment reaches the threshold.
+
+    Such an alignment has at most m matches and, at a point each, at most (2 - 1.2) m gaps and
+    mismatches: it covers 1.8 m words, so it lies in one of the windows of twice that length.
+    """
+    words = passage.tolist()
+    step = int((MATCH + 1 - MATCH * THRESHOLD) * m) + 2
+    held = None
+    for at in range(0, max(1, len(words) - step), step):
+        if _can_reach(masks, m, words[at : at + 2 * step]):
+            if held and at <= held[1]:
+                held = held[0], min(len(words), at + 2 * step)
+            else:
+                if held:
+                    yield held
+                held = at, min(len(words), at + 2 * step)
+    if held:
+        yield held
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -152,12 +172,13 @@ def find(seeds: Seeds, text: bytes | None) -> list[tuple[int, float, int, int]]:
                 hi = starts[k]
                 k += 1
             left, right = max(0, lo - slack), min(len(ids), hi + m + slack)
-            passage = ids[left:right]
-            score, end = align(item, passage)
-            share = score / (MATCH * m)
-            if share >= THRESHOLD and share > best.get(item_id, (0.0,))[0]:
-                back = align(item[::-1], passage[:end][::-1])[1]
-                best[item_id] = (share, left + end - back, left + end)
+            for lo, hi in promising(seeds.masks[s], m, ids[left:right]):
+                passage = ids[left + lo : left + hi]
+                score, end = align(item, passage)
+                share = score / (MATCH * m)
+                if share >= THRESHOLD and share > best.get(item_id, (0.0,))[0]:
+                    back = align(item[::-1], passage[:end][::-1])[1]
+                    best[item_id] = (share, left + lo + end - back, left + lo + end)
     return [(i, *v) for i, v in sorted(best.items())]
 
 
@@ -171,24 +192,6 @@ def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield sorted((r["item_id"], bytes(r["text"])) for r in block.collect())
 
 
-def _rare_seeds(docs: DataFrame, items: list[tuple[int, bytes]]) -> Seeds:
-    seeds = prepare(items)
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total, known = np.zeros(len(shared.value.codes), np.int64), 0, shared.value
-        for b in batches:
-            for t in b["text"].to_pylist():
-                own[np.unique(known.hits(known.encode(t))[1])] += 1
-                total += 1
-        some = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(own[some], total))], ["k", "n"])
-
-    found = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "k long, n long")
-    counts = {r["k"]: r["n"] for r in found.groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    return rare_only(seeds, counts, counts.pop(-1, 0))
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word of every document that holds a test item.
 
@@ -201,7 +204,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     thin = docs.select(c("doc_id").cast("long").alias("doc_id"), c("text").cast("binary").alias("text"))
     out = None
     for items in _passes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(_rare_seeds(docs, items))
+        shared = docs.sparkSession.sparkContext.broadcast(prepare(items))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
@@ -217,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, with all their columns."""
     for items in _passes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(_rare_seeds(docs, items))
+        shared = docs.sparkSession.sparkContext.broadcast(prepare(items))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
