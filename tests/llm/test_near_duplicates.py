@@ -134,6 +134,19 @@ def test_edited_copies_link_by_their_shingles(spark, monkeypatch):
     assert len(set(want.values())) < len(set(found.values()))  # what three bits leave
 
 
+def test_sketches_refuse_no_similar_pair():
+    rng, share = np.random.default_rng(3), near_copies._share(0.8)
+    refused = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.uniform(0.5, 1)], rng.integers(0, 2**63, rng.integers(0, 1 + n // 4)).astype(np.uint64)]))
+        ok = near_copies.may_be_similar(near_copies.sketch(a), near_copies.sketch(b), len(a), len(b), share)
+        assert ok or not near_copies.similar(a, b, share)
+        refused += not ok
+    assert refused > 50
+
+
 def test_near_copies_of_odd_rows(odd, empty):
     kept = simhash.keep_one(odd, near_copies.groups(odd))
     assert kept.columns == odd.columns and near_copies.groups(odd).count() == len(ROWS)
