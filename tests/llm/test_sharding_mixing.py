@@ -109,3 +109,10 @@ def test_mix_and_resample_of_odd_rows(odd, empty):
     again = cube.resample(odd)
     assert again.columns == odd.columns and again.count() == sum(r["copies"] for r in rows)
     assert cube.mix(empty).count() == 0 and cube.resample(empty).count() == 0
+
+
+def test_a_small_source_lands_finely_beside_a_large_one(spark):
+    rows = [(i, "w " * (500 + 37 * i % 997), "en", "small", 1) for i in range(300)] + [(1000 + i, "w " * (1 + i % 97), "en", "vast", 1) for i in range(700)]
+    out = cube.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    own = [r for r in out if r["source"] == "small"]
+    assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 20

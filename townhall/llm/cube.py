@@ -68,19 +68,17 @@ def land(size: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _fly(last: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "h"], ascending=[False, True], kind="stable")
-        size, x = rows["size"].to_numpy(float), rows["x"].to_numpy(float, copy=True)
-        draws = (rows["h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
-        if last:
-            flying = np.ones(len(x), bool)
-            flying[np.linspace(len(x) // 5, len(x) - 1, LANDING).astype(int)] = False
-            x[flying] = flight(size[flying], x[flying], draws[flying])
-            return rows.assign(x=land(size, x))
-        return rows.assign(x=flight(size, x, draws))
-
-    return run
+def _fly(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block's flight; a source that is one block lands, whatever the others still hold."""
+    rows = rows.sort_values(["size", "h"], ascending=[False, True], kind="stable")
+    size, x = rows["size"].to_numpy(float), rows["x"].to_numpy(float, copy=True)
+    draws = (rows["h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
+    if rows["blocks"].max() <= 1:
+        flying = np.ones(len(x), bool)
+        flying[np.linspace(len(x) // 5, len(x) - 1, LANDING).astype(int)] = False
+        x[flying] = flight(size[flying], x[flying], draws[flying])
+        return rows.assign(x=land(size, x))
+    return rows.assign(x=flight(size, x, draws))
 
 
 def targets(thin: DataFrame) -> DataFrame:
@@ -128,7 +126,7 @@ def mix(docs: DataFrame) -> DataFrame:
     while True:
         most = state.agg(F.max("blocks")).first()[0]
         last = most is None or most <= 1
-        flown = settle(state.groupBy("source_rank", "block").applyInPandas(_fly(last), state.schema))
+        flown = settle(state.groupBy("source_rank", "block").applyInPandas(_fly, state.schema))
         if last:
             done.append(flown)
             break
