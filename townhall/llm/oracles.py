@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from townhall.llm import quality_rules
+
 # Every position of a text as hexadecimal; positions whose 400 bytes occur again are joined to runs.
 SUFFIX_DEDUP = """WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
  p AS (SELECT r, unnest(range(1, length(h) // 2 - 398)) AS s FROM d WHERE length(h) >= 800),
@@ -38,4 +40,23 @@ SECRETS = f"""WITH d AS (SELECT doc_id, source, row_number() OVER () AS r, coale
 SELECT doc_id, source, sha256(t) AS blob, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (r)"""
 
-ORACLES = {"op5_secrets_ledger": SECRETS, "op8_suffix_dedup": SUFFIX_DEDUP}
+def _bound(rule: quality_rules.Rule) -> str:
+    unit, scale = ("1", 1) if rule.per is None else (rule.per, 100)
+    parts = [f"{scale} * {rule.count} {sign} {bound} * {unit}" for sign, bound in ((">=", rule.least), ("<=", rule.most)) if bound is not None]
+    return "(" + " AND ".join(parts) + ")"
+
+
+# Words, lines and windows of every text as lists; windows are rows.
+QUALITY_RULES = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+ win AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] || ' ' || words[i + 4] AS g FROM w, unnest(range(1, len(words) - 3)) u(i)),
+ twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+ rep AS (SELECT r, sum(step) AS n FROM (SELECT r, least(5, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 5)) AS step FROM twice) GROUP BY r),
+ c AS (SELECT doc_id, cast(len(words) as bigint) AS n_words, cast(length(array_to_string(words, '')) as bigint) AS word_chars, cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) AS n_symbols,
+   len(list_filter(words, lambda x: NOT regexp_matches(x, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]'))) AS n_bare_words, len(list_filter(words, lambda x: x IN ({", ".join(f"'{x}'" for x in quality_rules.stop_words())}))) AS n_stop_words,
+   len(lines) AS n_lines, cast(len(lines) - len(list_distinct(lines)) as bigint) AS n_dup_lines, len(list_filter(lines, lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*•]'))) AS n_bullet_lines,
+   len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_cut_lines, cast(coalesce(n, 0) as bigint) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
+ b AS (SELECT *, NOT ({" AND ".join(map(_bound, quality_rules.BASE))}) AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(map(_bound, quality_rules.RULES))} AS kept FROM b"""
+
+ORACLES = {"op5_secrets_ledger": SECRETS, "op8_suffix_dedup": SUFFIX_DEDUP, "op13_quality_rules": QUALITY_RULES}

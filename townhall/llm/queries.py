@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall.llm import cube, decontaminate, kd_shards, langid, media, quality, secrets_ledger, simhash, suffix_dedup, warc
+from townhall.llm import cube, decontaminate, kd_shards, langid, media, quality, quality_rules, secrets_ledger, simhash, suffix_dedup, warc
 from townhall.llm.common import documents, rest
 from townhall.llm.oracles import ORACLES  # noqa: F401
 
@@ -60,6 +60,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("record", F.col("record").cast("string"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("quality")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    found = quality_rules.judge(documents(spark, sf_dir))
+    return found.select("doc_id", *[q["counts"][c].alias(c) for c in counts], q["base_failed"].alias("base_failed"), q["kept"].alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_simhash": op2_simhash,
@@ -71,4 +78,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
+    "op13_quality_rules": op13_quality_rules,
 }
