@@ -13,6 +13,8 @@ COLUMNS = {
     "op5_secrets_ledger": "doc_id n_assign n_access n_hex base_sha256 spans", "op6_quality": "doc_id held_out score predicted",
     "op7_cube_mix": "doc_id size source_size target taken", "op8_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op9_decontaminate": "doc_id item_id score", "op10_warc": "page_id kind record_id refers_to record",
+    "op11_source_audit": "lang source part item value rank",
+    "op12_spelling": "word form root n n_near form_n",
     "op13_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
 }
 

@@ -59,4 +59,42 @@ QUALITY_RULES = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesc
  b AS (SELECT *, NOT ({" AND ".join(map(_bound, quality_rules.BASE))}) AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(map(_bound, quality_rules.RULES))} AS kept FROM b"""
 
-ORACLES = {"op5_secrets_ledger": SECRETS, "op8_suffix_dedup": SUFFIX_DEDUP, "op13_quality_rules": QUALITY_RULES}
+# All counts of all groups, zeros included, as exact integers.
+SOURCE_AUDIT = """WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+ lt AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+ lv AS (SELECT lang, count(*) AS v, sum(n) AS total FROM lt GROUP BY lang),
+ q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (total + 2 * v) AS q FROM lt JOIN lv USING (lang)),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ gc AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+ cells AS (SELECT g.lang, g.source, lt.term, coalesce(gc.n, 0) AS n FROM g JOIN lt USING (lang) LEFT JOIN gc ON gc.lang = g.lang AND gc.source = g.source AND gc.term = lt.term),
+ p AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p FROM cells),
+ pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ every_pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+   LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+ own AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ ranked AS (SELECT *, 'pair' AS part FROM every_pair UNION ALL BY NAME SELECT *, 'term' AS part FROM own)
+SELECT lang, source, part, item, cast(value AS bigint) AS value, cast(rank AS int) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked) WHERE part = 'pair' OR rank <= 10"""
+
+# crc32 from its table, near words from equal strings after a deletion, roots by recursion.
+SPELLING = """WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS crc FROM (
+   SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) x(i))),
+ d AS (SELECT row_number() OVER () AS r, coalesce(cast(doc_id AS varchar), '') AS doc,
+   unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) AS run FROM documents),
+ u AS (SELECT r, doc, run, count(*) AS n FROM d WHERE length(run) >= 7 GROUP BY ALL),
+ b AS (SELECT *, flatten(list_transform(string_split(doc || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c)::BIGINT - 64] END)) AS bytes FROM u),
+ h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, c: xor(a >> 8, crc[(xor(a, c) & 255) + 1])), 4294967295) AS h FROM b, tab),
+ m AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+ voc AS (SELECT word, cast(sum(n) AS bigint) AS n FROM m WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+ cut AS (SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS d FROM voc, unnest(range(1, length(word) + 1)) x(i)),
+ near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+   UNION SELECT cut.word, voc.word FROM cut JOIN voc ON cut.d = voc.word UNION SELECT voc.word, cut.word FROM cut JOIN voc ON cut.d = voc.word),
+ best AS (SELECT near.word, other, v.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, other) AS k FROM near JOIN voc v ON v.word = other),
+ form AS (SELECT voc.word, voc.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * voc.n THEN other END AS form, CASE WHEN other_n >= 10 * voc.n THEN other_n END AS form_n
+   FROM voc LEFT JOIN best ON best.word = voc.word AND k = 1),
+ walk AS (SELECT word, word AS stop FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON form.word = walk.stop WHERE form.form IS NOT NULL),
+ root AS (SELECT walk.word, stop AS root FROM walk JOIN form ON form.word = stop WHERE form.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN root USING (word)"""
+
+ORACLES = {"op5_secrets_ledger": SECRETS, "op8_suffix_dedup": SUFFIX_DEDUP, "op11_source_audit": SOURCE_AUDIT, "op12_spelling": SPELLING, "op13_quality_rules": QUALITY_RULES}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall.llm import cube, decontaminate, kd_shards, langid, media, quality, quality_rules, secrets_ledger, simhash, suffix_dedup, warc
+from townhall.llm import cube, decontaminate, kd_shards, langid, media, quality, quality_rules, secrets_ledger, simhash, source_audit, spelling, suffix_dedup, warc
 from townhall.llm.common import documents, rest
 from townhall.llm.oracles import ORACLES  # noqa: F401
 
@@ -60,6 +60,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("record", F.col("record").cast("string"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(documents(spark, sf_dir))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("quality")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -78,5 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
+    "op11_source_audit": op11_source_audit,
+    "op12_spelling": op12_spelling,
     "op13_quality_rules": op13_quality_rules,
 }
