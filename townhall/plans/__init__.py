@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_functions", "q_scoring", "q_state", "q_claims", "q_views", "q_sources", "q_evidence", "q_streams"]
+MODULES = ["q_functions", "q_scoring", "q_state", "q_claims", "q_views", "q_sources", "q_evidence", "q_streams", "q_relevance", "q_resolution"]
 
 
 def load_all() -> None:

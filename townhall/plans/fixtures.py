@@ -500,6 +500,44 @@ def v_scores(d):
     FROM @documents"""
 
 
+# --- names, announcements -------------------------------------------------------
+
+@_view
+def v_alias(d):
+    return f"""
+    SELECT id AS entity_id, CASE WHEN id % 2 = 0 THEN 'The Friends of ' || substring(sha1(slug), 1, 9) ELSE 'Desk ' || {d.str('id')} || ' West' END AS alias
+    FROM v_org WHERE id % 5 <> 0"""
+
+
+@_view
+def v_mention(d):
+    """Names as texts write them: exact, in capitals, as slug, by alias, misspelt, with an ending, and names of nobody known."""
+    odd = "substring(sha1(cast(l_partkey % 300 AS varchar(20))), 1, 12)".replace("cast(l_partkey % 300 AS varchar(20))", d.str("l_partkey % 300"))
+    at = "cast(l_orderkey % 6 + 3 as int)"
+    return f"""
+    SELECT lpad({d.str('l_orderkey')}, 10, '0') || lpad({d.str('l_linenumber')}, 2, '0')
+             || lpad({d.str('l_partkey')}, 8, '0') || lpad({d.str('l_suppkey')}, 6, '0') || lpad({d.str('cast(round(l_extendedprice * 100) as bigint)')}, 10, '0') AS mention_id,
+           CASE WHEN l_orderkey % 301 = 0 THEN NULL ELSE o.city_id END AS city_id,
+           CASE l_partkey % 9 WHEN 0 THEN o.name WHEN 1 THEN '  ' || upper(replace(o.name, ' ', '   ')) WHEN 2 THEN o.slug WHEN 3 THEN lower(a.alias)
+                WHEN 4 THEN substring(o.name, 1, {at}) || substring(o.name, {at} + 2) WHEN 5 THEN a.alias || ' Inc'
+                WHEN 6 THEN 'Union ' || {odd} WHEN 7 THEN 'union ' || substring({odd}, 1, {at}) || substring({odd}, {at} + 2)
+                ELSE CASE WHEN l_orderkey % 2 = 0 THEN ' ' ELSE 'Union  ' || {odd} || ' s' END END AS name
+    FROM @lineitem JOIN v_org o ON o.id = l_suppkey + 1 LEFT JOIN v_alias a ON a.entity_id = o.id"""
+
+
+@_view
+def v_announcement(d):
+    """Announced items; most of them on one day."""
+    k = "o_orderkey"
+    return f"""
+    SELECT {k} AS id, CASE WHEN {k} % 211 = 0 THEN NULL ELSE {k} % 25 + 1 END AS city_id,
+           CASE WHEN {k} % 97 = 0 THEN '--' WHEN {k} % 3 = 0 THEN upper(p_name) || ' public hearing, room ' || {d.str(k + ' % 40')}
+                WHEN {k} % 3 = 1 THEN 'Public hearing: ' || p_name || ' room ' || {d.str(k + ' % 40')} ELSE p_name || ' workshop ' || {d.str('o_custkey')} END AS title,
+           CASE WHEN {k} % 89 = 0 THEN NULL WHEN {k} % 10 < 6 THEN {d.plus(d.ts('1997-05-05 00:00:00'), 'MINUTE', k + ' % 1440')}
+                ELSE {d.plus('o_orderdate', 'MINUTE', k + ' % 1440')} END AS at
+    FROM @orders JOIN @part ON p_partkey = o_custkey % 37"""
+
+
 # --- raw payloads: ten orders per payload ---------------------------------------
 
 PAYLOAD_HEAD = """cast({idiv} as bigint) AS payload_id, {idiv} % (SELECT count(*) FROM @supplier) + 1 AS source_id, {idiv} % 25 + 1 AS city_id,
