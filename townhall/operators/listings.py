@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from townhall.config import SCRAPER_TYPES
 from townhall.operators.ranking import rank_in_buckets
+from townhall.session import settle
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -15,6 +18,58 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+@dataclass
+class Pages:
+    """An ordered listing that was cut into ranges: rows with their range, and per range the number of rows before it."""
+
+    rows: DataFrame
+    starts: list[int]  # of every range, and the number of all rows; bounded by the number of partitions
+    order: list[Column]
+    size: int
+
+    def page(self, number: int) -> DataFrame:
+        """Rows of page ``number`` (from 1) with ``position``; only the ranges that hold them are read, whatever the page."""
+        lo, hi = (number - 1) * self.size, number * self.size
+        here = [k for k in range(len(self.starts) - 1) if self.starts[k] < hi and self.starts[k + 1] > lo]
+        part = self.rows.filter(F.col("_range").isin(here) if here else F.lit(False))
+        start = F.element_at(F.array(*[F.lit(n) for n in self.starts]), F.col("_range") + 1)
+        place = F.row_number().over(W.partitionBy("_range").orderBy(*self.order)) + start
+        return part.withColumn("position", place).filter((F.col("position") > lo) & (F.col("position") <= hi)).drop("_range")
+
+    def bounds(self) -> DataFrame:
+        """page, first_position and the first row of every page, so that a client can seek to it by its key."""
+        start = F.element_at(F.array(*[F.lit(n) for n in self.starts]), F.col("_range") + 1)
+        place = F.row_number().over(W.partitionBy("_range").orderBy(*self.order)) + start
+        firsts = self.rows.withColumn("first_position", place).filter((F.col("first_position") - 1) % self.size == 0)
+        return firsts.withColumn("page", F.floor((F.col("first_position") - 1) / self.size) + 1).drop("_range")
+
+
+def paged(rows: DataFrame, order: list[Column], size: int) -> Pages:
+    """Rows dealt by range over the order and written, one folder per range, so that a late page costs what the first one does.
+
+    ``order`` must be total for stable pages. Rows with equal keys lie in one range; the driver gets one number per range.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    held = settle(dealt, ["_range"])
+    counts = dict(held.groupBy("_range").count().collect())
+    starts = [0]
+    for k in range(n):
+        starts.append(starts[-1] + counts.get(k, 0))
+    return Pages(held, starts, order, size)
+
+
+def dashboard_rollup(runs: DataFrame, scrapers: DataFrame) -> DataFrame:
+    """Runs and written items per city, source and status, per city and source, per city, and in all: one grouping.
+
+    ``level`` is the grouping id: 0 for the finest groups, 1, 3 and 7 where status, source and city are summed over. Runs of unknown sources have no city.
+    """
+    city = scrapers.select(F.col("id").alias("scraper_id"), "city_id")
+    rows = runs.select("scraper_id", "status", "items_written").join(city, "scraper_id", "left")
+    return rows.rollup("city_id", "scraper_id", "status").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("runs"), F.sum("items_written").alias("items_written"))
+
+
 def dashboard_counts(cities: DataFrame, organizations: DataFrame, scrapers: DataFrame) -> DataFrame:
     tag = lambda df, t, on: df.select(F.lit(t).alias("t"), on.alias("on"))
     rows = tag(cities, "c", F.lit(True)).unionByName(tag(organizations, "o", F.lit(True))).unionByName(tag(scrapers, "s", F.col("is_enabled")))

@@ -299,3 +299,28 @@ def _(s):
         .unionByName(tag(checks.event_checks(s.view("v_event"), some_cities), "event"))
         .unionByName(tag(checks.city_checks(s.view("v_city")), "city"))
     )
+
+
+@query("dashboard_rollup", with_views("""SELECT s.city_id, r.scraper_id, r.status, cast(GROUPING(s.city_id, r.scraper_id, r.status) AS bigint) AS level, count(*) AS runs, cast(sum(items_written) AS bigint) AS items_written
+ FROM v_run r LEFT JOIN v_scraper s ON s.id = r.scraper_id GROUP BY ROLLUP (s.city_id, r.scraper_id, r.status)""", "v_run", "v_scraper"))
+def _(s):
+    return listings.dashboard_rollup(s.view("v_run"), s.view("v_scraper"))
+
+
+LATE_PAGE = "SELECT count(*) // 20 * 9 // 10 FROM v_event"
+
+
+@query("deep_page", with_views(f"""SELECT id, title, {stamp_sql('starts_at')} AS starts_at, position FROM (SELECT *, row_number() OVER (ORDER BY starts_at, id) AS position FROM v_event)
+ WHERE position > (({LATE_PAGE}) - 1) * 20 AND position <= ({LATE_PAGE}) * 20""", "v_event"))
+def _(s):
+    rows = s.view("v_event").select("id", "title", "starts_at")
+    pages = listings.paged(rows, [F.col("starts_at"), F.col("id")], 20)
+    late = pages.starts[-1] // 20 * 9 // 10
+    return pages.page(late).select("id", "title", stamp("starts_at").alias("starts_at"), "position")
+
+
+@query("page_bounds", with_views(f"""SELECT cast((position - 1) // 20 + 1 AS bigint) AS page, position AS first_position, id, {stamp_sql('starts_at')} AS starts_at
+ FROM (SELECT *, row_number() OVER (ORDER BY starts_at, id) AS position FROM v_event) WHERE (position - 1) % 20 = 0""", "v_event"))
+def _(s):
+    pages = listings.paged(s.view("v_event").select("id", "starts_at"), [F.col("starts_at"), F.col("id")], 20)
+    return pages.bounds().select("page", "first_position", "id", stamp("starts_at").alias("starts_at"))

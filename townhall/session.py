@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,17 +47,39 @@ def local_session(app: str = "townhall", cores: str = "*", shuffle: int = 8, che
     return prepare(spark)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Write an intermediate result that several outputs share to the checkpoint folder and read it back.
 
     The table survives lost executors and cuts the lineage, and its size is known to the
     plans that read it, so small ones are broadcast and hot keys of large ones are split.
+    ``by`` names columns whose values get folders of their own, so that readers can skip the others. Inside ``scratch``
+    the table goes when the block ends.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    root = _SCRATCH[-1] if _SCRATCH else checkpoint_dir(df.sparkSession)
+    path = f"{root}/settled-{uuid.uuid4().hex}"
+    df.write.partitionBy(*(by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder below the checkpoint folder for the tables that ``settle`` writes inside the block; it is removed at the end.
+
+    What leaves the block must have been written elsewhere before.
+    """
+    folder = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
