@@ -47,15 +47,15 @@ def local_session(app: str = "townhall", cores: str = "*", shuffle: int = 8, che
     return prepare(spark)
 
 
-def settle(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def settle(df: DataFrame, by: list[str] | None = None, root: str | None = None) -> DataFrame:
     """Write an intermediate result that several outputs share to the checkpoint folder and read it back.
 
     The table survives lost executors and cuts the lineage, and its size is known to the
     plans that read it, so small ones are broadcast and hot keys of large ones are split.
     ``by`` names columns whose values get folders of their own, so that readers can skip the others. Inside ``scratch``
-    the table goes when the block ends.
+    the table goes when the block ends, unless ``root`` names another folder for it.
     """
-    root = _SCRATCH[-1] if _SCRATCH else checkpoint_dir(df.sparkSession)
+    root = root or (_SCRATCH[-1] if _SCRATCH else checkpoint_dir(df.sparkSession))
     path = f"{root}/settled-{uuid.uuid4().hex}"
     df.write.partitionBy(*(by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
