@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from odd_rows import ROWS
 
@@ -110,7 +111,8 @@ def plain_similar(texts, least=0.8):
     return group
 
 
-def test_edited_copies_link_by_their_shingles(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [(16, 16, 1), (0, 2, 1), (0, 1, 3)])
+def test_edited_copies_link_by_their_shingles(spark, monkeypatch, crowd):
     rng = random.Random(4)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
     line = "this line of nine words is in many documents"
@@ -128,12 +130,30 @@ def test_edited_copies_link_by_their_shingles(spark, monkeypatch):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_similar(rows)
-    monkeypatch.setattr(near_copies, "DENSE", 1)  # a round of stars comes first
+    for name, value in zip(("CROWD", "CENTRES", "ROUNDS"), crowd, strict=True):
+        monkeypatch.setattr(near_copies, name, value)  # every place is crowded
     assert {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs).collect()} == want
     found = {r["doc_id"]: r["component_id"] for r in simhash.groups(docs).collect()}
     assert len(set(want.values())) < len(set(found.values()))  # what three bits leave
 
 
+def test_a_dense_group_around_the_threshold(spark, monkeypatch):
+    """Copies of one text with edits of their own: all places are crowded in any order, about half of the pairs are similar."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(near_copies, "CROWD", 2)
+    monkeypatch.setattr(near_copies, "CENTRES", 6)
+    found = near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == plain_similar(rows)
+
+
 def test_sketches_refuse_no_similar_pair():
     rng, share = np.random.default_rng(3), near_copies._share(0.8)
     refused = 0
