@@ -17,6 +17,7 @@ QUICK = [
     "source_hash", "slugify", "parse_event_date", "score_articles", "dedupe_cascade", "dedupe_within_batch", "upsert_articles", "replace_claims",
     "explode_claims", "keyword_dictionary", "project_entities", "civic_actions", "timeline_items", "rerank", "latest_run", "due_scrapers",
     "record_checks", "rss_articles", "ics_events", "json_events_generic", "text_signals", "stream_run_stats",
+    "relevance_candidates", "answer_contexts", "dashboard_rollup", "page_bounds", "stream_sessions", "replace_projection",
 ]
 KEYS = sorted(ORACLES) if os.environ.get("TOWNHALL_ORACLE") == "all" else QUICK
 
@@ -36,4 +37,4 @@ def test_every_query_has_an_oracle():
 
 
 def test_inventory_size():
-    assert len(QUERIES) == 150
+    assert len(QUERIES) == 162

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from townhall.operators import dedupe, merge
+from townhall.operators import dedupe, listings, merge
 from townhall.session import settle
 
 
@@ -22,6 +22,35 @@ def test_merge_neither_groups_nor_sorts_nor_shuffles_old_rows(spark):
     assert len(rows) == 1005 and rows[0] == ("text 0", 1) and rows[999] == ("last", 1) and rows[1004] == ("last", None)
 
 
+def test_replaced_groups_neither_group_nor_shuffle_old_rows(spark):
+    old = settle(spark.range(1000).select((F.col("id") % 100).alias("g"), F.col("id").alias("v"), F.when(F.col("id") % 2 == 0, "open").alias("state")))
+    batch = spark.createDataFrame([(3, -1, "open"), (None, -2, "open")], "g long, v long, state string")
+    out = merge.replace_groups(old, batch, ["g"], replaceable=F.col("state") == "open")
+    plan = plan_of(out)
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert out.count() == 1002  # group 3 has odd rows only, which may not go
+    assert merge.replace_groups(old, batch, ["g"]).filter("g = 3").count() == 1
+    assert merge.replace_groups(out, batch.limit(0), ["g"], touched=spark.createDataFrame([(None,), (4,)], "g long")).count() == 1002 - 10 - 1
+
+
+def test_a_late_page_reads_its_range_only(spark):
+    rows = spark.range(10_000).select(F.col("id"), (F.col("id") * 7919 % 10_007).alias("k"))
+    pages = listings.paged(rows, [F.col("k"), F.col("id")], 25)
+    want = [r["id"] for r in rows.orderBy("k", "id").offset(390 * 25).limit(25).collect()]
+    late = pages.page(391)
+    assert [r["id"] for r in late.orderBy("position").collect()] == want and "TakeOrdered" not in plan_of(late) and "GlobalLimit" not in plan_of(late)
+    assert "PartitionFilters: [" in plan_of(late) and "_range" in plan_of(late).split("PartitionFilters")[1][:60]
+    assert pages.page(401).count() == 0 and pages.page(400).count() == 25 and pages.bounds().count() == 400
+
+
+def test_the_dashboard_is_one_grouping(spark):
+    runs = spark.createDataFrame([(1, "success", 5), (1, "failed", 0), (9, None, None)], "scraper_id long, status string, items_written long")
+    out = listings.dashboard_rollup(settle(runs), settle(spark.createDataFrame([(1, 4)], "id long, city_id long")))
+    assert plan_of(out).count("hashpartitioning") == 1
+    rows = {(r["city_id"], r["scraper_id"], r["status"], r["level"]): (r["runs"], r["items_written"]) for r in out.collect()}
+    assert rows[None, None, None, 7] == (3, 5) and rows[4, 1, None, 1] == (2, 5) and rows[None, 9, None, 0] == (1, None) and len(rows) == 8
+
+
 def test_merge_takes_null_keys_as_equal(spark):
     schema = "a long, b string, v string"
     old = spark.createDataFrame([(1, None, "old"), (None, None, "old"), (2, "x", "old")], schema)

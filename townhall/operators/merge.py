@@ -46,14 +46,18 @@ def replace_groups(old: DataFrame, batch: DataFrame, group: list[str], touched:
     """Old rows of the touched groups go, batch rows come.
 
     ``touched`` names the groups; it defaults to the groups of the batch and must be
-    given when a group may be written empty. ``replaceable`` limits which old rows go.
+    given when a group may be written empty. ``replaceable`` limits which old rows go. Null groups are equal.
+
+    The batch and its groups are reduced and written as in ``upsert``; rows that may not go, and those of other groups, stream through.
     """
-    groups = (batch if touched is None else touched).select(*group).distinct().withColumn("_hit", F.lit(True))
-    drop = F.col("_hit").isNotNull()
-    if replaceable is not None:
-        drop = drop & F.coalesce(replaceable, F.lit(False))
-    kept = old.join(groups, group, "left").filter(~drop).select(*old.columns)
-    return kept.unionByName(batch.select(*old.columns))
+    columns = old.columns
+    batch = settle(batch.select(*columns))
+    groups = settle((batch if touched is None else touched).select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)]).distinct())
+    if replaceable is None:
+        return old.join(groups, _same(old, group), "left_anti").unionByName(batch)
+    may_go = F.coalesce(replaceable, F.lit(False))
+    open_ = old.filter(may_go)
+    return old.filter(~may_go).unionByName(open_.join(groups, _same(open_, group), "left_anti")).unionByName(batch)
 
 
 def article_rows(items: DataFrame) -> DataFrame:
