@@ -43,8 +43,6 @@ DIMENSION_WEIGHTS = {
     "timeliness": 0.10,
 }
 SCORE_VERSION = "crf_v1"
-PROMPT_VERSION = "enrich_v1_prompt_002"
-MODEL_NAME = "gpt-4o-mini"
 
 # --- text gates ----------------------------------------------------------
 MIN_TEXT_CHARS = 800

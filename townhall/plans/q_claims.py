@@ -321,3 +321,25 @@ N_CLAIMS = f"CASE WHEN a.id IS NULL AND {K} % 25 + 1 IN (SELECT city_id FROM v_i
 FROM orders LEFT JOIN v_issue_area a ON a.city_id = {K} % 25 + 1 AND lower(a.slug) = 'brand-' || {K} % 30""", "v_issue_area"))
 def _(s):
     return enrich.enrichment_counts(enriched(s))
+
+
+LISTED = f"""claim AS (SELECT x.*, {K} % 25 + 1 AS city_id FROM ({EXPLODED}) x JOIN orders ON {K} = article_id),
+ listed AS (SELECT * FROM claim WHERE claim_type <> 'article_issue_area' OR city_id NOT IN (SELECT city_id FROM v_issue_area WHERE slug IS NOT NULL)
+   OR (city_id, 'brand-' || article_id % 30) IN (SELECT (city_id, lower(slug)) FROM v_issue_area)),
+ long AS (SELECT article_id FROM civic_text WHERE length(regexp_replace(cleaned_text, '^\\s+|\\s+$', '', 'g')) >= {C.MIN_TEXT_CHARS})"""
+
+
+@query("enrich_second_pass", with_views("""SELECT article_id, pos, claim_type, value_json, confidence, 'llm' AS source, 'proposed' AS status FROM listed WHERE article_id IN (SELECT article_id FROM long)
+ UNION ALL SELECT article_id, pos, claim_type, value_json, confidence, CASE WHEN pos = 0 THEN 'llm' ELSE 'editor' END, CASE WHEN pos = 0 THEN 'approved' ELSE 'proposed' END
+ FROM listed WHERE (pos = 0 AND article_id % 7 = 0) OR (pos = 2 AND article_id % 11 = 0)""", "v_issue_area", "civic_text", extra=LISTED))
+def _(s):
+    """A pass over stored claims of two sources, some approved, with the length gate on the texts."""
+    c, place = F.col, F.right("pos", F.lit(6)).cast("int")
+    areas = s.view("v_issue_area")
+    no_keywords = areas.limit(0).select("id", "city_id", "slug", c("slug").alias("name"))
+    stored = settle(enriched(s).claims.withColumns({
+        "status": F.when((place == 0) & (c("article_id") % 7 == 0), "approved").otherwise(c("status")),
+        "source": F.when((place == 2) & (c("article_id") % 11 == 0), "editor").otherwise(c("source"))}))
+    bodies = s.wide("civic_text").select("article_id", "cleaned_text")
+    found = enrich.enrich(s.wide("v_model_output"), _cities(s), s.view("v_scraper"), s.view("v_org"), areas, no_keywords, as_of(), settle, bodies, stored)
+    return found.claims.select("article_id", place.alias("pos"), "claim_type", "value_json", "confidence", "source", "status")
