@@ -111,7 +111,7 @@ def plain_similar(texts, least=0.8):
     return group
 
 
-@pytest.mark.parametrize("crowd", [(16, 16, 1), (0, 2, 1), (0, 1, 3)])
+@pytest.mark.parametrize("crowd", [(16, 32), (0, 2)])
 def test_edited_copies_link_by_their_shingles(spark, monkeypatch, crowd):
     rng = random.Random(4)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
@@ -130,7 +130,7 @@ def test_edited_copies_link_by_their_shingles(spark, monkeypatch, crowd):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_similar(rows)
-    for name, value in zip(("CROWD", "CENTRES", "ROUNDS"), crowd, strict=True):
+    for name, value in zip(("CROWD", "CENTRES"), crowd, strict=True):
         monkeypatch.setattr(near_copies, name, value)  # every place is crowded
     assert {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs).collect()} == want
     found = {r["doc_id"]: r["component_id"] for r in simhash.groups(docs).collect()}
