@@ -268,3 +268,10 @@ def test_derivatives_skip_what_is_no_response(spark):
     rows = spark.createDataFrame([(1, None), (2, warc.record([("WARC-Type", "request")], b"GET /"))], "page_id long, record binary")
     assert warc.derivatives(rows).count() == 0
     assert warc.derivatives(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_broken_image_files_give_nulls(spark):
+    good = webp.encode(np.zeros((2, 3, 4), np.uint8))
+    rows = [(k, d) for k, d in enumerate([None, b"", b"RIFF....WEBPVP8L", b"RIFF....WEBP", b"RIFF....WEBPXXXX", good[:20], good[:-4], good])]
+    found = media.pixels(spark.createDataFrame(rows, "k int, image binary"), "image").collect()
+    assert [r["width"] for r in found[:5]] == [None] * 5 and (found[-1]["width"], found[-1]["height"]) == (3, 2) and len(found) == len(rows)

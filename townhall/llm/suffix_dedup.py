@@ -3,10 +3,10 @@
 A suffix matters only by its first 400 bytes. Its initial bucket is a q-gram of 128 bytes: of
 those inside the 400 the one with the smallest hash (the first of equals), so that equal strings share the
 bucket and the place in it, and few q-grams stand for all suffixes. Buckets with one member are done.
-The others are refined: members are sorted out by the bucket identifiers of what lies at
-earlier and later offsets, first for all suffixes of a member at once, then for blocks of 16, then
-one by one. What a step decides (all repeated, or none) is used and not looked at again;
-identifiers are 128-bit hashes.
+The others are refined: members are told apart by hashes of all bytes that their suffixes cover before and
+behind the q-gram, first for all suffixes of a member at once, then for blocks of 16, then one by one.
+These content hashes of 128 bits stand in for bucket identifiers of later offsets. What a step decides
+(all repeated, or none) is used and not looked at again.
 """
 
 from __future__ import annotations
