@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from townhall import config as C
-from townhall.functions.text import slugify
 from townhall.operators import actions, claims, enrich, timeline
 from townhall.plans.fixtures import with_views
 from townhall.plans.registry import query, stamp, stamp_sql
