@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from odd_rows import ROWS
+from pyspark.sql import functions as F
 
 from townhall.llm import cube, kd_shards
 
@@ -116,3 +117,13 @@ def test_a_small_source_lands_finely_beside_a_large_one(spark):
     out = cube.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
     own = [r for r in out if r["source"] == "small"]
     assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 20
+
+
+def test_a_hot_text_fills_all_of_its_many_shards(spark):
+    """A third of all rows share one text and have no id; sources differ behind a long common start only."""
+    rows = [(i, f"text number {i} of these", f"https://example.org/{i % 3}", "en") for i in range(2000)] + [(None, "one text of many rows", "https://example.org/0", None)] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    shards = kd_shards.assign(docs, shards=240).groupBy("shard").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    target = sum(r["w"] for r in shards) / 240
+    assert {r["shard"] for r in shards} == set(range(240)) and all(r["n"] == r["last"] + 1 for r in shards) and sum(r["n"] for r in shards) == 3000
+    assert all(abs(r["w"] - target) <= target / 8 for r in shards)

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from townhall.llm.common import number_in_order, partitions, settle
 
 DIMENSIONS = ("length", "source", "lang", "doc_id")
-PIECES = 64  # a group of equal texts may be cut into so many parts
+TOGETHER = 1 / 16  # of a shard's bytes, up to which equal texts stay in one shard
 
 
-def _code(c: Column) -> Column:
-    """The first six bytes of a text as a number, which keeps the order of texts; null is -1."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+def _coded(df: DataFrame, name: str, out: str) -> DataFrame:
+    """The texts of a column replaced by their number in order; null is -1."""
+    found = number_in_order(df.select(name).dropna().distinct(), [], [F.col(name)], out)
+    return df.join(settle(found), name, "left").drop(name).withColumn(out, F.coalesce(F.col(out).cast("double"), F.lit(-1.0)))
 
 
 def _size(text: Column) -> Column:
@@ -63,12 +64,23 @@ def _cuts(units: DataFrame, nodes: dict[int, tuple[int, int, float]]) -> list[tu
     return [(r["node"], nodes[r["node"]][0], r["v"], r["h"], r["part"], bool(r["cum"] - r["want"] <= r["want"] - (r["cum"] - r["peers"]))) for r in first]
 
 
-def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
+def _in_pieces(thin: DataFrame, cap: float) -> DataFrame:
+    """Rows with ``piece``: groups of equal texts above ``cap`` bytes are cut by position into pieces of at most about that size."""
+    c = F.col
+    big = thin.groupBy("h", "size").agg((F.count("*") * c("size")).alias("gw")).filter(c("gw") > cap).select("h", "size", (c("gw") / cap).alias("parts"), "gw")
+    big = settle(big)
+    rows = number_in_order(thin.join(big, ["h", "size"]), ["h", "size"], [c("doc_id"), c("row")], "at")
+    cut = rows.withColumn("piece", F.floor(c("at") * c("size") * F.ceil("parts") / c("gw")).cast("int"))
+    rest = thin.join(big, ["h", "size"], "left_anti").withColumn("piece", F.lit(0))
+    return settle(rest.unionByName(cut.drop("parts", "gw", "at")).drop("row"))
+
+
+def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, together: float = TOGETHER) -> DataFrame:
     """A row per document: doc_id, size, text_crc32, shard, slot.
 
     ``shards`` leaves, or as many as ``target_bytes`` asks for. Size is the UTF-8 bytes of the text
-    plus 8. Documents of equal text stay in one shard unless they hold more than a sixteenth of
-    its bytes; then a cut may run through them, so a huge group does not unbalance the shards.
+    plus 8. Documents of equal text stay in one shard unless they hold more than ``together`` (a sixteenth) of
+    its bytes; then they are cut into pieces of about that size, whatever their ids, so a huge group does not unbalance the shards.
 
     Null or empty text: size 8, checksum 0; they are two groups. Null metadata sorts before all else.
     Repeated rows are placed one by one, an empty table gives an empty result, other columns
@@ -78,19 +90,16 @@ def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None
     thin = docs.select(
         c("doc_id"), _size(c("text")).alias("size"), F.coalesce(F.crc32(c("text").cast("binary")), F.lit(0)).alias("text_crc32"),
         F.coalesce(F.xxhash64(c("text"), c("text").isNull()), F.lit(0)).alias("h"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).cast("int").alias("piece"),
-        _code(c("source")).alias("src"), _code(c("lang")).alias("lng"))
+        c("source").alias("source"), c("lang").alias("lang"), F.monotonically_increasing_id().alias("row"))
     thin = settle(thin)
-    units = thin.groupBy("h", "size", "piece").agg(
+    total = thin.agg(F.sum("size")).first()[0] or 0
+    leaves = shards if shards is not None else max(1, math.ceil(total / target_bytes))
+    thin = _in_pieces(_coded(_coded(thin, "source", "src"), "lang", "lng"), max(1.0, total / leaves * together))
+    units = thin.groupBy("h", "size", c("piece").alias("part")).agg(
         (F.count("*") * c("size")).alias("w"), F.log2(c("size").cast("double")).alias("d0"), F.min("src").alias("d1"), F.min("lng").alias("d2"),
         F.coalesce(F.min("doc_id").cast("double"), F.lit(-1.0)).alias("d3"))
-    group = W.partitionBy("h", "size")  # at most PIECES rows
-    units = units.select("h", "size", "piece", "w", F.sum("w").over(group).alias("gw"), "d0", *[F.min(f"d{i}").over(group).alias(f"d{i}") for i in (1, 2, 3)], F.lit(0).alias("node"))
-    units = settle(units)
-    total = units.agg(F.sum("w")).first()[0] or 0
-    leaves = shards if shards is not None else max(1, math.ceil(total / target_bytes))
-    cap = total / leaves / 16
-    units = units.select("*", F.when(c("gw") > cap, c("piece")).otherwise(F.lit(0)).alias("part"))
+    group = W.partitionBy("h", "size")  # as many rows as the group has pieces
+    units = settle(units.select("h", "size", "part", "w", "d0", *[F.min(f"d{i}").over(group).alias(f"d{i}") for i in (1, 2, 3)], F.lit(0).alias("node")))
     width: list[float] | None = None
     count, first_leaf = {0: leaves}, {0: 0}
     while any(k > 1 for k in count.values()):
@@ -116,7 +125,7 @@ def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None
                 left[k], start[k] = n, first_leaf[k]
         count, first_leaf = left, start
     shard_of = docs.sparkSession.createDataFrame(sorted(first_leaf.items()), "node int, shard int")
-    placed = units.join(F.broadcast(shard_of), "node").select("h", "size", "piece", "shard")
+    placed = units.join(F.broadcast(shard_of), "node").select("h", "size", c("part").alias("piece"), "shard")
     out = thin.join(settle(placed), ["h", "size", "piece"]).select("doc_id", "size", "text_crc32", "shard")
     return number_in_order(out, ["shard"], [c("doc_id"), c("text_crc32"), c("size")], "slot")
 
