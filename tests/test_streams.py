@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from townhall.plans.q_streams import state_store
@@ -83,3 +84,60 @@ def test_resends_within_the_delay_are_dropped(spark, tmp_path):
     stream = jobs.drop_resends(arriving(spark, f"{tmp_path}/in", rows, "k string, at timestamp"), "at", "10 minutes", ["k"])
     jobs.run_available(stream, f"{tmp_path}/checkpoint", lambda b, epoch: found.extend(b.select(F.col("k")).collect()))
     assert sorted(r["k"] for r in found) == ["a", "a", "b", "c", "d"]
+
+
+class Kept:
+    """State of one source, in memory, and the timers that were asked for."""
+
+    def __init__(self):
+        self.timers, self.rows = [], []
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return Nothing()
+
+    def getMapState(self, *_):
+        return Nothing()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def exists(self):
+        return bool(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+
+class Nothing:
+    def exists(self):
+        return False
+
+    def update(self, *_):
+        pass
+
+    def updateValue(self, *_):
+        pass
+
+
+def test_a_source_is_woken_once_however_many_minutes_its_beats_lie_in():
+    kept, processor = Kept(), guard.RunGuard()
+    processor.init(kept)
+    beats = pd.DataFrame({"ts": [minutes(k) for k in range(500)], "run_id": 1, "status": "running"})
+    list(processor.handleInputRows((1,), iter([beats]), None))
+    at = lambda k: int(minutes(k).replace(tzinfo=dt.UTC).timestamp() * 1000)
+    assert kept.timers == [at(1)]
+    # Up to the watermark everything is read at once; the first beat behind it has the next timer.
+    processor._advance(at(200) * 1000)
+    assert len(kept.rows) == 300 and at(201) in kept.timers and len(kept.timers) <= 3

@@ -2,7 +2,8 @@
 
 State per source: a list of beats that the watermark has not passed, the active run, and the runs that ended lately. Beats are read in
 the order of their time once a whole minute below the watermark holds them, so the result does not depend on how the input was cut
-into micro-batches. Timers stand at the minute after a beat and after the silence of the active run.
+into micro-batches. Timers stand at the minute after the earliest waiting beat and after the silence of the active run, so a source is
+read a few times per micro-batch, however many minutes its beats lie in.
 """
 
 from __future__ import annotations
@@ -40,8 +41,7 @@ class RunGuard(StatefulProcessor):
             beats = list(zip(ts, pdf["run_id"].tolist(), pdf["status"].tolist(), strict=True))
             if beats:
                 self.pending.appendList(beats)
-                for minute in {t // MINUTE + 1 for t in ts}:
-                    self.handle.registerTimer(minute * MINUTE // 1000)
+                self._wake(min(ts))
         yield self._rows(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -51,6 +51,10 @@ class RunGuard(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _wake(self, ts: int) -> None:
+        """A timer at the minute after a beat. Whatever waits behind it is given one when it fires."""
+        self.handle.registerTimer((ts // MINUTE + 1) * MINUTE // 1000)
+
     def _advance(self, limit: int) -> list[tuple]:
         """Everything that happened before ``limit``, and the state after it. Called again for the same limit it finds nothing new."""
         beats = sorted(tuple(b) for b in self.pending.get()) if self.pending.exists() else []
@@ -80,6 +84,8 @@ class RunGuard(StatefulProcessor):
             active = None
         if ready:
             self.pending.put(later) if later else self.pending.clear()
+            if later:
+                self._wake(later[0][0])
         if active != before[0]:
             if active:
                 self.active.update(active)
