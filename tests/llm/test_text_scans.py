@@ -275,3 +275,18 @@ def test_broken_image_files_give_nulls(spark):
     rows = [(k, d) for k, d in enumerate([None, b"", b"RIFF....WEBPVP8L", b"RIFF....WEBP", b"RIFF....WEBPXXXX", good[:20], good[:-4], good])]
     found = media.pixels(spark.createDataFrame(rows, "k int, image binary"), "image").collect()
     assert [r["width"] for r in found[:5]] == [None] * 5 and (found[-1]["width"], found[-1]["height"]) == (3, 2) and len(found) == len(rows)
+
+
+def test_stored_images_use_every_transform(monkeypatch):
+    inverted = []
+    for name in ("_unpredict", "_cross"):
+        real = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a, real=real, name=name: inverted.append((name, a[-1])) or real(*a))
+    few, many = media.pad(b"a few words " * 40), media.pad(np.random.default_rng(3).integers(0, 256, 5000, np.uint8).tobytes())
+    for payload in (few, many, media.pad(b"")):
+        images = media.store(payload)
+        inverted.clear()
+        assert media.load(images) == payload
+        assert {n for n, _ in inverted} == {"_unpredict", "_cross"}
+    # Behind the first 25 bytes: transform bit, then its kind; 3 is the palette.
+    assert media.store(few)[0][25] & 7 == 7 and media.store(many)[0][25] & 7 == 1

@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 from townhall.llm import webp
 
 ROW = 64  # bytes of a row of 16 pixels
+# All transforms and the colour cache are written, so reading back inverts them; images of few colours have a palette too.
+FORM = {"predictor": 1, "cross": 0x010203, "green": True, "cache_bits": 4}
+COLOURS = 256
 STRIP = 1 << 14  # rows of one image at most; longer payloads are stored as several images, one after another
 
 
@@ -27,7 +30,8 @@ def pad(raw: bytes) -> bytes:
 def store(payload: bytes) -> list[bytes]:
     """A payload of whole rows as images of at most 1 MiB; every byte is a sample, in the order red, green, blue, alpha."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, ROW // 4, 4)
-    return [webp.encode(samples[k : k + STRIP]) for k in range(0, len(samples), STRIP)]
+    strips = [samples[k : k + STRIP] for k in range(0, len(samples), STRIP)]
+    return [webp.encode(x, palette=len(np.unique(x.view(np.uint32))) <= COLOURS, **FORM) for x in strips]
 
 
 def load(images: list[bytes]) -> bytes:
