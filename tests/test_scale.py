@@ -1,14 +1,17 @@
 """Ranking, numbering, joins and components give the plain answer also when keys are hot."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from townhall.operators import dedupe
+from townhall.operators import dedupe, relevance, rerank
+from townhall.operators.graph import components
 from townhall.operators.merge import upsert
 from townhall.operators.ranking import number_rows, rank_in_buckets
 from townhall.operators.skew import lookup_join
+from townhall.session import scratch, settle
 
 
 def skewed(spark, n=3000):
@@ -76,3 +79,32 @@ def test_due_plan_has_no_driver_collect_and_prunes_columns(spark):
     load_all()
     plan = QUERIES["claim_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "p_retailprice" not in plan and "l_tax" not in plan
+
+
+def test_components_leave_one_table_behind(spark):
+    links = spark.createDataFrame([(f"{i + 1:05d}", f"{i:05d}") for i in range(60)], "a string, b string")
+    with scratch(spark) as folder:
+        found = components(links)
+        assert {r["label"] for r in found.collect()} == {"00000"} and found.count() == 60
+        assert len(list(Path(folder).iterdir())) == 1
+
+
+def test_words_are_counted_before_they_meet_the_vocabulary(spark):
+    texts = spark.createDataFrame([(1, 1, "road road road works", "", None)], "article_id long, city_id long, title string, summary string, cleaned_text string")
+    asked = spark.createDataFrame([(7, 1, "road")], "query_id long, city_id long, question string")
+    moved = []
+
+    def watch(df, *a, **b):
+        moved.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return settle(df, *a, **b)
+
+    for module, run in ((rerank, lambda: rerank.text_candidates(asked, texts)), (relevance, lambda: relevance.asked_postings(asked, texts))):
+        moved.clear()
+        module.settle = watch
+        try:
+            rows = run().collect()
+        finally:
+            module.settle = settle
+        assert rows[0]["tf" if module is rerank else "token"] == (3 if module is rerank else "road")
+        plan = next(p for p in moved if "Join" in p and "Generate" in p)
+        assert plan.index("Join") < plan.index("Aggregate") < plan.index("Generate")
