@@ -86,9 +86,16 @@ def blocks(html: Column, selector: str) -> Column:
     return F.slice(F.split(html, f"(?is)(?={opening})"), 2, 2_000_000_000)
 
 
+def first(html: Column, selector: str) -> Column:
+    """The first element of the selector; null or '' when there is none. What follows it is not searched."""
+    if len(selector.split()) == 1:
+        return F.regexp_extract(html, _element_pattern(selector), 1)
+    return F.try_element_at(select(html, selector), F.lit(1))
+
+
 def first_text(html: Column, selector: str) -> Column:
     """Text of the first element, '' when there is none."""
-    return F.coalesce(node_text(F.try_element_at(select(html, selector), F.lit(1))), F.lit(""))
+    return F.coalesce(node_text(first(html, selector)), F.lit(""))
 
 
 def attribute(element: Column, name: str) -> Column:
@@ -98,4 +105,4 @@ def attribute(element: Column, name: str) -> Column:
 
 
 def first_attribute(html: Column, selector: str, name: str) -> Column:
-    return F.coalesce(attribute(F.try_element_at(select(html, selector), F.lit(1)), name), F.lit(""))
+    return F.coalesce(attribute(first(html, selector), name), F.lit(""))
