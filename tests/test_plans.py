@@ -5,6 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from townhall.operators import dedupe, listings, merge
+from townhall.plans.registry import dealt
 from townhall.session import settle
 
 
@@ -84,3 +85,25 @@ def test_a_hot_item_key_is_split_when_it_is_looked_up(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_item_keys_are_dealt_out_as_numbers(spark):
+    items = spark.createDataFrame([(p, 1, "https://x/" + p, "https://y/", None, "") for p in "abc"] + [("d", None, "https://x/a", "https://y/", None, None)],
+                                  "pos string, city_id long, canonical_url string, source_url string, source_uid string, content_hash string")
+    articles = spark.createDataFrame([(7, 1, "https://x/b", "h"), (6, None, "https://x/a", None)], "id long, city_id long, canonical_url string, content_hash string")
+    sources = spark.createDataFrame([(9, 1, "https://y/", None), (7, 1, "https://y/", None)], "article_id long, city_id long, source_url string, source_uid string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = dedupe.match_existing(items, articles, sources)
+        assert "hashpartitioning(_id0" in plan_of(found) and "hashpartitioning(tier" not in plan_of(found)
+        assert sorted(map(tuple, found.collect())) == [("a", 2, 7), ("b", 1, 7), ("c", 2, 7)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_in_many_splits_are_not_dealt_again(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert dealt(spark.range(0, 1000, 1, cores * 3)).rdd.getNumPartitions() == cores * 3
+    if cores > 1:
+        assert "RoundRobin" in plan_of(dealt(spark.range(0, 1000, 1, 1)))
