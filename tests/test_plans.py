@@ -102,6 +102,27 @@ def test_item_keys_are_dealt_out_as_numbers(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_many_keys_of_text_are_dealt_out_as_numbers(spark, monkeypatch):
+    monkeypatch.setattr(merge, "FEW_ROWS", 0)
+    schema = "a long, b string, v string"
+    old = spark.createDataFrame([(1, None, "old"), (1, "", "old"), (None, None, "old"), (2, "x", "old"), (2, "x", "again")], schema)
+    batch = spark.createDataFrame([(1, None, "new", 1), (None, None, "new", 1), (2, "y", "new", 1)], schema + ", pos long")
+    out = merge.upsert(old, batch, ["a", "b"], "pos")
+    assert "_id0" in plan_of(out)
+    new = [(1, None, "new"), (None, None, "new"), (2, "y", "new")]
+    assert Counter(map(tuple, out.collect())) == Counter([(1, "", "old"), (2, "x", "old"), (2, "x", "again"), *new])
+    by_id = merge.upsert(old, batch, ["a"], "pos")
+    assert "_id0" not in plan_of(by_id) and by_id.count() == 3
+
+
+def test_the_first_merge_writes_no_table_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(merge, "settle", None)
+    schema = "a long, v string, kept int"
+    batch = spark.createDataFrame([(1, "new", 1), (1, "last", 2), (None, "x", 1)], "a long, v string, pos long")
+    out = merge.upsert(spark.createDataFrame([], schema), batch, ["a"], "pos", keep=["kept"], first=True)
+    assert Counter(map(tuple, out.collect())) == Counter([(1, "last", None), (None, "x", None)]) and out.dtypes == [("a", "bigint"), ("v", "string"), ("kept", "int")]
+
+
 def test_rows_in_many_splits_are_not_dealt_again(spark):
     cores = spark.sparkContext.defaultParallelism
     assert dealt(spark.range(0, 1000, 1, cores * 3)).rdd.getNumPartitions() == cores * 3

@@ -39,3 +39,12 @@ def normalize_events(items: DataFrame, cities: DataFrame) -> DataFrame:
             "source_url": F.coalesce(event_url, absolute_url(F.col("feed_url"), F.col("feed_url"))),
         })
     )
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """The identity hash as its 20 bytes; as text it is 40 characters that no shuffle can compress."""
+    return df.withColumn("source_hash", F.unhex("source_hash"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.withColumn("source_hash", F.lower(F.hex("source_hash")))
