@@ -29,7 +29,8 @@ def resolve(items: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFr
     top = articles.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     new = number_rows(groups.filter("known IS NULL").select("label"), F.col("label"), "new_id", top)
     ids = groups.join(new, "label", "left").select("label", F.coalesce("known", "new_id").alias("article_id"))
-    return good.join(labels, "pos").join(ids, "label").drop("label")
+    # Ids meet first; the items join last.
+    return good.join(labels.join(ids, "label").select("pos", "article_id"), "pos")
 
 
 def write_batch(resolved: DataFrame, articles: DataFrame, bodies: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
