@@ -90,7 +90,7 @@ def test_a_hot_item_key_is_split_when_it_is_looked_up(spark):
 def test_item_keys_are_dealt_out_as_numbers(spark):
     items = spark.createDataFrame([(p, 1, "https://x/" + p, "https://y/", None, "") for p in "abc"] + [("d", None, "https://x/a", "https://y/", None, None)],
                                   "pos string, city_id long, canonical_url string, source_url string, source_uid string, content_hash string")
-    articles = spark.createDataFrame([(7, 1, "https://x/b", "h"), (6, None, "https://x/a", None)], "id long, city_id long, canonical_url string, content_hash string")
+    articles = spark.createDataFrame([(7, 1, "https://x/b", "h"), (6, None, "https://x/a", None), (None, 1, "https://x/b", None)], "id long, city_id long, canonical_url string, content_hash string")
     sources = spark.createDataFrame([(9, 1, "https://y/", None), (7, 1, "https://y/", None)], "article_id long, city_id long, source_url string, source_uid string")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
