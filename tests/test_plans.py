@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from townhall.operators import dedupe, listings, merge
+from townhall.operators import dedupe, listings, merge, skew
 from townhall.plans.registry import dealt
 from townhall.session import settle
 
@@ -103,7 +103,7 @@ def test_item_keys_are_dealt_out_as_numbers(spark):
 
 
 def test_many_keys_of_text_are_dealt_out_as_numbers(spark, monkeypatch):
-    monkeypatch.setattr(merge, "FEW_ROWS", 0)
+    monkeypatch.setattr(skew, "FEW_ROWS", 0)
     schema = "a long, b string, v string"
     old = spark.createDataFrame([(1, None, "old"), (1, "", "old"), (None, None, "old"), (2, "x", "old"), (2, "x", "again")], schema)
     batch = spark.createDataFrame([(1, None, "new", 1), (None, None, "new", 1), (2, "y", "new", 1)], schema + ", pos long")
