@@ -154,6 +154,54 @@ def test_a_dense_group_around_the_threshold(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == plain_similar(rows)
 
 
+def test_links_of_fingerprints_join_sets_before_their_prefixes_do(spark, monkeypatch):
+    rng = random.Random(6)
+
+    def five(text):
+        return simhash.majority(near_copies.shingles(text.encode(), 5))
+
+    long = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    near = next(t for t in (" ".join([*long, f"x{k}"]) for k in range(10**4)) if (five(t) ^ five(" ".join(long))).bit_count() <= 3)
+    texts = [" ".join(long), near, " ".join(f"w{rng.randrange(10**6)}" for _ in range(600)), "a b c d e f", "f e d c b a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "links", lambda docs, sets, rows, words, share, label: label)  # no prefixes
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    # Fingerprints that link say nothing yet: the sets are compared.
+    monkeypatch.setattr(simhash, "majority", lambda h: 7)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.groups(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+
+
+def test_a_dense_group_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    """Copies that share most shingles, but too few: 1770 pairs meet, and hardly any is handed on to be compared."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(60):
+        copy = list(base)
+        for place in rng.sample(range(1, 14), 3):
+            copy[10 * place + rng.randrange(5)] = f"x{k}.{place}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    seen, real = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda docs, sets, pairs, words, share: seen.append(pairs.count()) or real(docs, sets, pairs, words, share))
+    found = near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == plain_similar(rows)
+    assert sum(seen) < 300
+
+
+def test_short_sketches_refuse_no_similar_pair():
+    rng, refused = np.random.default_rng(4), 0
+    for _ in range(300):
+        n = int(rng.integers(1, 300))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.uniform(0.5, 1)], rng.integers(0, 2**63, rng.integers(0, 1 + n // 4)).astype(np.uint64)]))
+        bits = sum(((int(x) ^ int(y)) & (2**64 - 1)).bit_count() for x, y in zip(near_copies.fold(a), near_copies.fold(b), strict=True))
+        ok = 9 * bits <= len(a) + len(b)
+        assert ok or not near_copies.similar(a, b, near_copies._share(0.8))
+        refused += not ok
+    assert refused > 30
+
+
 def test_sketches_refuse_no_similar_pair():
     rng, share = np.random.default_rng(3), near_copies._share(0.8)
     refused = 0

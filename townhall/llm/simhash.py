@@ -39,7 +39,11 @@ def fingerprint(text: bytes | None) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[i:j], SEED) for i, j in zip(starts[: len(words) - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], dtype="<u8")
+    return majority(np.array([digest(line[i:j], SEED) for i, j in zip(starts[: len(words) - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; none of them: 0."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         part = h[k : k + (1 << 16)]
