@@ -290,3 +290,18 @@ def test_stored_images_use_every_transform(monkeypatch):
         assert {n for n, _ in inverted} == {"_unpredict", "_cross"}
     # Behind the first 25 bytes: transform bit, then its kind; 3 is the palette.
     assert media.store(few)[0][25] & 7 == 7 and media.store(many)[0][25] & 7 == 1
+
+
+def test_cached_pixels_are_read_in_array_operations(monkeypatch):
+    one_by_one, real = [], webp.Bits.symbol
+    monkeypatch.setattr(webp.Bits, "symbol", lambda self, table: one_by_one.append(1) or real(self, table))
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), np.uint8)) for _ in range(60)]
+    line = b" ".join(words[k] for k in rng.integers(0, 60, 40))
+    for text in (b" ".join(words[k] for k in rng.integers(0, 60, 2000)), (line + b"\n") * 300, bytes(20000), bytes(rng.integers(0, 256, 20000, np.uint8)), line + bytes(4000) + line):
+        payload = media.pad(text)
+        assert media.load(media.store(payload)) == payload
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 16, 4)
+        for cache_bits in (1, 4, 11):
+            assert (webp.decode(webp.encode(image, cache_bits=cache_bits)) == image).all()
+    assert len(one_by_one) < 5000

@@ -1,14 +1,13 @@
 """Lossless WebP: reading and writing of 8-bit RGBA arrays.
 
 The reader takes any VP8L stream: transforms, colour cache, several groups of prefix codes,
-back-references. A stream with one group and no cache, which the writer makes by default, is
+back-references. A stream with one group, which the writer makes by default, is
 read in array operations: the length of the code at every bit is looked up at once, and only the
-hops from one pixel to the next are followed one by one.
+hops from one pixel to the next are followed one by one. Copied and cached pixels point at earlier ones.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 from functools import lru_cache
 
@@ -32,6 +31,7 @@ PREDICT, CROSS, GREEN, PALETTE = range(4)
 LONGEST = 12  # bits of a prefix code
 MATCH = 4  # pixels of the shortest back-reference
 COPY = 4096  # pixels of the longest
+SMALL = 64  # pixels of an image that is read one by one
 _LENGTH_CODE = {0: 3, **dict.fromkeys((*range(1, LONGEST + 1), 17, 18), 4)}  # code lengths of code lengths
 
 
@@ -91,19 +91,28 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
         return out
     weights = counts[used]
     while True:
-        heap = list(zip(weights.tolist(), range(len(used))))
-        heapq.heapify(heap)
-        above = [0] * (2 * len(used) - 1)
-        for k in range(len(used), 2 * len(used) - 1):
-            a = heapq.heappop(heap)
-            b = heap[0]
-            above[a[1]] = above[b[1]] = k
-            heapq.heapreplace(heap, (a[0] + b[0], k))
-        depth = [0] * len(above)
-        for k in range(len(above) - 2, -1, -1):
+        order = np.argsort(weights, kind="stable")
+        # Leaves by weight, then the sums in the order they are made, which is theirs by weight too; of equals the leaf is first.
+        n, top = len(used), int(weights.sum()) + 1
+        weight = [*weights[order].tolist(), *[top] * (n + 1)]
+        leaf, inner = 0, n + 1
+        above = [0] * (2 * n)
+        for k in range(n + 1, 2 * n):
+            if weight[leaf] <= weight[inner]:
+                a, leaf = leaf, leaf + 1
+            else:
+                a, inner = inner, inner + 1
+            if weight[leaf] <= weight[inner]:
+                b, leaf = leaf, leaf + 1
+            else:
+                b, inner = inner, inner + 1
+            above[a] = above[b] = k
+            weight[k] = weight[a] + weight[b]
+        depth = [0] * (2 * n)
+        for k in range(2 * n - 2, -1, -1):
             depth[k] = depth[above[k]] + 1
-        if max(depth) <= LONGEST:
-            out[used] = depth[: len(used)]
+        if max(depth[:n]) <= LONGEST:
+            out[used[order]] = depth[:n]
             return out
         weights = weights // 2 + 1
 
@@ -236,8 +245,8 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
     codes = [_read_codes(bits, sizes) for _ in range(groups)]
     out = np.zeros(width * height, np.uint32)
-    if groups == 1 and not cache_bits:
-        _read_array(bits, codes[0], width, out)
+    if groups == 1 and len(out) > SMALL:
+        _read_array(bits, codes[0], width, out, cache_bits)
         return out
     cache = np.zeros(1 << cache_bits, np.uint32)
     at = cached = 0
@@ -271,37 +280,43 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return out
 
 
-def _read_array(bits: Bits, codes: list[Table], width: int, out: np.ndarray) -> None:
-    """The pixels of a stream with one group of codes and no cache."""
-    first = bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8)[first:].astype(np.uint32)
+def _read_array(bits: Bits, codes: list[Table], width: int, out: np.ndarray, cache_bits: int = 0) -> None:
+    """The pixels of a stream with one group of codes."""
+    first, total = bits.at >> 3, len(out)
+    # No pixel takes more than 64 bits.
+    raw = np.frombuffer(bits.data, np.uint8)[first : first + 8 * total + 8].astype(np.uint32)
     word = raw.copy()
     for k in (1, 2, 3):
         word[:-k] |= raw[k:] << np.uint32(8 * k)
-    window = ((word[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0x7FFF)).astype(np.int32).ravel()[bits.at & 7 :]
+    window = np.empty((len(raw), 8), np.int32)
+    for k in range(8):
+        window[:, k] = (word >> np.uint32(k)) & np.uint32(0x7FFF)
+    window = window.ravel()[bits.at & 7 :]
     n = len(window)
     place = np.arange(n, dtype=np.int32)
     ends: dict[int, np.ndarray] = {}
 
     def after(t: Table) -> np.ndarray:
         if id(t) not in ends:
-            ends[id(t)] = np.minimum(place + t.length[window & ((1 << t.bits) - 1)], n - 1)
+            ends[id(t)] = np.minimum(place + t.length.take(window & ((1 << t.bits) - 1)), n - 1) if t.bits else place
         return ends[id(t)]
 
     green, red, blue, alpha, far = codes
     p1 = after(green)
     if green is red is blue is alpha:
-        p2 = p1[p1]
-        p3, p4 = p2[p1], p2[p2]
+        p2 = p1.take(p1)
+        p3, p4 = p2.take(p1), p2.take(p2)
     else:
-        p2 = after(red)[p1]
-        p3 = after(blue)[p2]
-        p4 = after(alpha)[p3]
-    count = None
+        p2 = after(red).take(p1)
+        p3 = after(blue).take(p2)
+        p4 = after(alpha).take(p3)
+    count = sym = None
     if int(green.symbol.max()) >= LITERALS:
-        # What a back-reference would take at each bit where its symbol could stand.
-        sym = green.symbol[window & ((1 << green.bits) - 1)]
-        ref = np.flatnonzero(sym >= LITERALS)
+        # What a back-reference would take at each bit where its symbol could stand; a cached pixel takes its symbol only.
+        sym = green.symbol.take(window & ((1 << green.bits) - 1))
+        p4 = np.where(sym >= LITERALS + LENGTHS, p1, p4)
+        ref = np.flatnonzero((sym >= LITERALS) & (sym < LITERALS + LENGTHS))
+    if sym is not None and len(ref):
         extra, base = _EXTRA[sym[ref] - LITERALS].T
         at = p1[ref]
         length = base + (window[at] & ((1 << extra) - 1))
@@ -312,20 +327,18 @@ def _read_array(bits: Bits, codes: list[Table], width: int, out: np.ndarray) ->
         # Up to 18 extra bits: more than one window holds.
         low, high = window[at] & ((1 << np.minimum(extra, 15)) - 1), window[np.minimum(at + 15, n - 1)] & ((1 << np.maximum(extra - 15, 0)) - 1)
         back = base + low + (high << 15)
-        p4 = p4.copy()
         p4[ref] = np.minimum(at + extra, n - 1)
         count = np.ones(n, np.int32)
         count[ref] = length
         distance = np.zeros(n, np.int64)
         distance[ref] = back
-    hop, p, total = memoryview(np.ascontiguousarray(p4)), 0, len(out)
+    hop, p = memoryview(np.ascontiguousarray(p4)), 0
     spots: list[int] = []
     add = spots.append
     if count is None:
         for _ in range(total):
             add(p)
             p = hop[p]
-        starts = None
     else:
         size, done = memoryview(count), 0
         while done < total:
@@ -335,27 +348,50 @@ def _read_array(bits: Bits, codes: list[Table], width: int, out: np.ndarray) ->
         if done > total:
             raise ValueError("a back-reference leaves the image")
     spot = np.array(spots, np.int64)
-    if count is not None:
-        starts = np.cumsum(count[spot]) - count[spot]
-        is_ref = sym[spot] >= LITERALS
-        refs = np.flatnonzero(is_ref)
     used = 8 * (len(bits.data) - 8) - bits.at
     if p > used:
         raise ValueError("the stream ends early")
     bits.at += p
-    lit = spot if count is None else spot[~is_ref]
 
     def value(t: Table, at: np.ndarray) -> np.ndarray:
         return t.symbol[window[at] & ((1 << t.bits) - 1)].astype(np.uint32)
 
-    pixel = value(alpha, p3[lit]) << 24 | value(red, p1[lit]) << 16 | value(green, lit) << 8 | value(blue, p2[lit])
-    if count is None:
-        out[:] = pixel
+    def pixel(lit: np.ndarray) -> np.ndarray:
+        return value(alpha, p3[lit]) << 24 | value(red, p1[lit]) << 16 | value(green, lit) << 8 | value(blue, p2[lit])
+
+    if sym is None:
+        out[:] = pixel(spot)
+        return
+    kind = sym[spot]
+    starts = np.arange(total) if count is None else np.cumsum(count[spot]) - count[spot]
+    literal = kind < LITERALS
+    out[starts[literal]] = pixel(spot[literal])
+    copies = np.flatnonzero(~literal & (kind < LITERALS + LENGTHS)).tolist()
+    cached = kind >= LITERALS + LENGTHS
+    if not cached.any():
+        for k in copies:
+            at = spots[k]
+            _copy(out, int(starts[k]), _distance(int(distance[at]), width), int(count[at]))
         return
-    out[starts[~is_ref]] = pixel
-    for k in refs.tolist():
+    # The earlier pixel that each one repeats; the last place is a colour that was never cached, 0.
+    source = np.arange(total + 1)
+    slot = (out * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
+    slot[starts[cached]] = (kind[cached] - (LITERALS + LENGTHS)).astype(np.uint32)
+    for k in copies:
         at = spots[k]
-        _copy(out, int(starts[k]), _distance(int(distance[at]), width), int(count[at]))
+        _copy(source[:-1], int(starts[k]), _distance(int(distance[at]), width), int(count[at]))
+    slot = slot[source[:-1]]
+    order = np.argsort(slot, kind="stable")
+    before = np.full(total, total)
+    same = slot[order[1:]] == slot[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    source[starts[cached]] = before[starts[cached]]
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    out[:] = np.append(out, np.uint32(0))[source[:-1]]
 
 
 def _planes(argb: np.ndarray) -> np.ndarray:
@@ -407,8 +443,13 @@ def _modes(modes: np.ndarray, step: int, width: int, height: int) -> np.ndarray:
 
 
 def _unpredict(argb: np.ndarray, modes: np.ndarray, step: int, width: int, height: int) -> np.ndarray:
-    m = _modes(modes, step, width, height)
     p = _planes(argb).reshape(4, height, width)
+    if (modes == 1).all():
+        # The first column adds up downwards, then each row to the right.
+        p[0, 0, 0] += 255
+        p[:, :, 0] = np.cumsum(p[:, :, 0], axis=1)
+        return _numbers(np.cumsum(p, axis=2, dtype=np.int32).reshape(4, -1))
+    m = _modes(modes, step, width, height)
     flat = p.reshape(4, -1)
     p[:, 0] = np.cumsum(p[:, 0], axis=1)
     p[0, 0] += 255
@@ -607,12 +648,12 @@ def _put_pixels(out: Out, argb: np.ndarray, width: int, main: bool, cache_bits:
     kind[refs[:, 0]] = 1
     cached = np.zeros(len(argb), np.int64)
     if cache_bits:
-        slots: dict[int, int] = {}
-        for k, v in enumerate(argb.tolist()):
-            slot = (v * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)
-            if kind[k] == 0 and slots.get(slot) == v:
-                kind[k], cached[k] = 3, slot
-            slots[slot] = v
+        # A colour is cached where the pixel before it in its slot has it too.
+        slot = (argb * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
+        order = np.argsort(slot, kind="stable")
+        again = order[1:][(slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])]
+        again = again[kind[again] == 0]
+        kind[again], cached[again] = 3, slot[again]
     literal = kind == 0
     length_code, length_bits, length_more = _prefix(refs[:, 2])
     far_code, far_bits, far_more = _prefix(refs[:, 1] + len(DISTANCE_MAP))
@@ -676,6 +717,14 @@ def _put_pixels(out: Out, argb: np.ndarray, width: int, main: bool, cache_bits:
     return flat[: -(-total // 8)].tobytes()
 
 
+@lru_cache(256)
+def _even(value: int, n: int, width: int) -> tuple[int, int]:
+    """An image of one colour, as those of the transforms are: value and bits."""
+    out = Out()
+    _put_pixels(out, np.full(n, value, np.uint32), width, False)
+    return out.value, out.size
+
+
 def encode(pixels: np.ndarray, *, predictor: int | None = None, cross: int | None = None, green: bool = False, palette: bool = False, cache_bits: int = 0, groups: bool = False) -> bytes:
     """Write (height, width, 4) red, green, blue, alpha as a lossless WebP file.
 
@@ -707,7 +756,7 @@ def encode(pixels: np.ndarray, *, predictor: int | None = None, cross: int | Non
         out.put(1 | PREDICT << 1 | 2 << 3, 6)
         across, down = -(-width >> 4), -(-height >> 4)
         modes = np.full(across * down, predictor, np.int64)
-        _put_pixels(out, (modes.astype(np.uint32) << np.uint32(8)), across, False)
+        out.put(*_even(predictor << 8, len(modes), across))
         m = _modes(modes, 4, width, height).ravel()
         flat = np.pad(_planes(argb), ((0, 0), (width + 1, 1)))
         k = np.arange(len(argb)) + width + 1
@@ -721,7 +770,7 @@ def encode(pixels: np.ndarray, *, predictor: int | None = None, cross: int | Non
         out.put(1 | CROSS << 1 | 2 << 3, 6)
         across, down = -(-width >> 4), -(-height >> 4)
         elements = np.full(across * down, cross | 0xFF000000, np.uint32)
-        _put_pixels(out, elements, across, False)
+        out.put(*_even(cross | 0xFF000000, len(elements), across))
         argb = _cross(argb, elements, 4, width, height, -1)
     if green:
         out.put(1 | GREEN << 1, 3)
