@@ -108,3 +108,16 @@ def test_words_are_counted_before_they_meet_the_vocabulary(spark):
         assert rows[0]["tf" if module is rerank else "token"] == (3 if module is rerank else "road")
         plan = next(p for p in moved if "Join" in p and "Generate" in p)
         assert plan.index("Join") < plan.index("Aggregate") < plan.index("Generate")
+
+
+def test_items_are_grouped_by_numbers_also_where_positions_repeat_or_are_null(spark):
+    schema = "pos string, city_id long, canonical_url string, source_url string, source_uid string, content_hash string"
+    rows = [("d", 1, "x", "s1", None, None), ("b", 1, "y", "s1", None, None), ("c", 1, "y", "s2", None, "h"), ("a", 1, "z", "s3", None, "h"), ("e", 1, "q", "s4", None, None),
+            ("f", 2, "x", "s1", None, None), ("g", 1, "g1", "g2", None, None), ("g", 1, "w", "g3", None, None), ("i", 1, "w", "g4", None, None), (None, 1, "q", "s1", None, None),
+            ("k", 1, "q", "k1", "0", ""), ("l", 1, "l0", "l1", "0", "")]
+    items = spark.createDataFrame(rows, schema)
+    got = sorted(map(tuple, dedupe.label_batch(items).collect()), key=str)
+    want = {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "f", "g": "g", "i": "g", "k": "e", "l": "l"}
+    assert got == sorted([*((p, want[p]) for p, *_ in rows if p), (None, None)], key=str)
+    # Texts do not go through the rounds.
+    assert {t for _, t in dedupe.batch_pairs(items.withColumn("id", F.monotonically_increasing_id())).dtypes} == {"bigint"}
