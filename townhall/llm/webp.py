@@ -246,7 +246,10 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     codes = [_read_codes(bits, sizes) for _ in range(groups)]
     out = np.zeros(width * height, np.uint32)
     if groups == 1 and len(out) > SMALL:
-        _read_array(bits, codes[0], width, out, cache_bits)
+        if cache_bits:
+            _read_array(bits, codes[0], width, out, cache_bits)
+        else:
+            _read_array(bits, codes[0], width, out)
         return out
     cache = np.zeros(1 << cache_bits, np.uint32)
     at = cached = 0
