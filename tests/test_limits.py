@@ -77,6 +77,20 @@ def test_items_of_one_title_make_links_in_proportion(spark, monkeypatch):
     assert {(r.first_id, r.n_links) for r in found} == {(0, 299)} and written[0] < 600
 
 
+def test_titles_that_differ_in_a_number_of_their_own_are_compared_as_one(spark, monkeypatch):
+    """240 titles, each with its own number, and 20 of another kind: neighbours are counted as by pairs, a bucket holds a few titles."""
+    day, rng, sides = dt.datetime(2024, 5, 5), random.Random(11), []
+    title = lambda k: f"garden workshop number {k}" if k < 240 else f"garden workshop number {k} and much more to see {k % 2}"
+    rows = [(k, 1, title(k), day + dt.timedelta(seconds=rng.randrange(20_000))) for k in range(260)]
+    plain = proximity.similar_pairs
+    monkeypatch.setattr(proximity, "similar_pairs", lambda left, *a, **b: (sides.append(left.groupBy("bucket").count().agg(F.max("count")).first()[0]), plain(left, *a, **b))[1])
+    found = {r.id: r.n_links for r in proximity.time_duplicates(spark.createDataFrame(rows, "id long, city_id long, title string, at timestamp_ntz"), 3600).collect()}
+    words = {k: set(t.split()) for k, _, t, _ in rows}
+    near = lambda a, b: abs((a[3] - b[3]).total_seconds()) <= 3600 and len(words[a[0]] & words[b[0]]) * 10 >= len(words[a[0]] | words[b[0]]) * 6
+    assert found == {a[0]: sum(near(a, b) for b in rows if b is not a) for a in rows}
+    assert sides[0] <= 4
+
+
 def test_one_scan_finds_the_phrases_of_all_lists(spark):
     rng = random.Random(3)
     words = sorted({w for phrases in H.PHRASES for p in phrases for w in [p, *p.split()]}) + ["hearings", "x_board", "the", "-", "."]
