@@ -38,3 +38,10 @@ def test_every_query_has_an_oracle():
 
 def test_inventory_size():
     assert len(QUERIES) == 163
+
+
+def test_an_enrichment_pass_meets_the_stored_keywords(spark, duck):
+    assert oracle.compare(spark, duck, "enrich_pipeline", QUERIES, ORACLES, SMALL) is None
+    counts = QUERIES["enrich_pipeline"](spark, SMALL)
+    n = counts.selectExpr("count(*) AS articles", "sum(n_keywords) AS keywords", "sum(n_known_keywords) AS known", "sum(n_analyses) AS analyses").first()
+    assert 0 < n.known < n.keywords and n.analyses == n.articles
